@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import decontaminate, packing, topk, warc
+from textloom.llm import decontaminate, packing, simhash, topk, warc
 from textloom.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(topk.vectors(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op3_warc": op3_warc, "op4_decontaminate": op4_decontaminate, "op9_packing": op9_packing, "op10_topk": op10_topk}
+QUERIES = {"op3_warc": op3_warc, "op4_decontaminate": op4_decontaminate, "op5_simhash": op5_simhash, "op9_packing": op9_packing, "op10_topk": op10_topk}
 SQL = {"op3_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL, "op10_topk": topk.SQL}
