@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import decontaminate, langid, license_scan, packing, preference, simhash, topk, urlfilter, warc
+from textloom.llm import decontaminate, langid, license_scan, packing, passages, preference, simhash, topk, urlfilter, warc
 from textloom.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.neighbours(read_table(spark, sf_dir, "conversations")))
 
@@ -45,5 +49,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(topk.vectors(read_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_urlfilter, op3_warc, op4_decontaminate, op5_simhash, op6_license, op8_preference, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_urlfilter, op3_warc, op4_decontaminate, op5_simhash, op6_license, op7_passages, op8_preference, op9_packing, op10_topk)}
 SQL = {"op2_urlfilter": urlfilter.SQL, "op3_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL, "op6_license": license_scan.sql(), "op8_preference": preference.SQL, "op10_topk": topk.SQL}
