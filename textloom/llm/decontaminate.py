@@ -10,7 +10,7 @@ item of fewer words is one pattern). Patterns of one length form a Wu-Manber tab
   selects them;
 * a direct comparison of all words confirms each of them.
 
-Text is searched in many lanes at once (numpy), so every lane jumps by its own shift.
+Texts are laid end to end and searched in many lanes at once (numpy); every lane jumps by its own shift.
 
 Scale: documents are never shuffled and each task holds one document and the tables. Tables are
 broadcast; they are built from at most ``shard_bytes`` of benchmark text. A larger benchmark is
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 WINDOW = 10
 SHARD_BYTES = 16_000_000
 _TABLE_BITS = 18
-_LANE = 512
+_LANE = 128
+_WORDS = 400_000
 _PIECE = 1 << 20
 
 #: Bytes to word characters: A-Z lowered, all that is no word character to a space.
@@ -133,8 +134,14 @@ class Matcher:
             at = end
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
-    def hits(self, ids: np.ndarray, hit: np.ndarray, items: set[str]) -> None:
-        """Marks the words inside occurrences and gathers the items they come from."""
+    def hits(self, texts: list[np.ndarray], hit: np.ndarray, items: list[set[str]]) -> None:
+        """Marks the words inside occurrences and gathers the items of each text they come from.
+
+        ``hit`` covers the texts laid end to end, one word apart (0, which is in no pattern), so that all lanes are busy.
+        """
+        zero = np.zeros(1, np.int64)
+        ids = np.concatenate([part for t in texts for part in (t, zero)])
+        edge = np.cumsum([len(t) + 1 for t in texts])
         for table, owners in self.tables:
             ends, patterns = table.search(ids)
             if len(ends):
@@ -143,8 +150,9 @@ class Matcher:
                 steps[starts] += 1
                 np.add.at(steps, starts + table.m, -1)
                 hit |= np.cumsum(steps[:-1]) > 0
-                for p in np.unique(patterns):
-                    items.update(owners[p])
+                pairs = np.unique(np.searchsorted(edge, ends, "right") * len(owners) + patterns)
+                for text, p in zip((pairs // len(owners)).tolist(), (pairs % len(owners)).tolist(), strict=True):
+                    items[text].update(owners[p])
 
 
 def _shards(items: DataFrame, shard_bytes: int) -> list[DataFrame]:
@@ -174,18 +182,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
             matcher = Matcher(shared.value, window)
             for frame in frames:
                 made: list[list] = [[], [], [], []]
-                before = frame[[names[2], names[3]]].itertuples(index=False) if again else ((None, None),) * len(frame)
-                for text, (items_before, spans_before) in zip(frame["text"], before, strict=True):
-                    ids = matcher.numbers(text)
-                    hit = np.zeros(len(ids), bool)
-                    found = set(items_before if again else ())
-                    if again:
-                        for a, b in zip(spans_before[::2], spans_before[1::2], strict=True):
-                            hit[a:b] = True
-                    matcher.hits(ids, hit, found)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                    for column, value in zip(made, (len(ids), int(hit.sum()), sorted(found), edges.tolist()), strict=True):
-                        column.append(value)
+                before = frame[[names[2], names[3]]].itertuples(index=False, name=None) if again else ((None, None),) * len(frame)
+                texts: list[np.ndarray] = []
+                known: list[tuple] = []
+
+                def flush() -> None:
+                    hit = np.zeros(sum(map(len, texts)) + len(texts), bool)
+                    found = [set(items if again else ()) for items, _ in known]
+                    at = 0
+                    for ids, (_, spans) in zip(texts, known, strict=True) if again else ():
+                        for a, b in zip(spans[::2], spans[1::2], strict=True):
+                            hit[at + a : at + b] = True
+                        at += len(ids) + 1
+                    if texts:
+                        matcher.hits(texts, hit, found)
+                    at = 0
+                    for ids, items in zip(texts, found, strict=True):
+                        own = hit[at : at + len(ids)]
+                        at += len(ids) + 1
+                        edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))) if own.any() else np.empty(0, np.int64)
+                        for column, value in zip(made, (len(ids), int(own.sum()), sorted(items), edges.tolist()), strict=True):
+                            column.append(value)
+                    texts.clear()
+                    known.clear()
+
+                size = 0
+                for text, one in zip(frame["text"], before, strict=True):
+                    texts.append(matcher.numbers(text))
+                    known.append(one)
+                    size += len(texts[-1])
+                    if size > _WORDS:
+                        flush()
+                        size = 0
+                flush()
                 yield frame.assign(**dict(zip(names, (pd.Series(m, index=frame.index, dtype=object) for m in made), strict=True)))
 
         out = out.mapInPandas(run, schema)
