@@ -2,7 +2,7 @@
 
 Both sides are indexed. A task takes its candidates in blocks and builds a cover tree of each: a node
 has a centre, a covering radius and children whose centres lie within half of the parent's scale and
-further than that from each other; a node of a few vectors is a leaf. The queries of a block have a
+further than that from each other; a node of a few vectors, or of vectors too far apart to gather around centres, is a leaf. The queries of a block have a
 cover tree too. The search walks pairs of nodes, nearest first. For a query node with centre q and radius
 s and a candidate node with centre p and radius r, no inner product exceeds
 
@@ -37,6 +37,8 @@ SCALE = 1024
 QUERY_BLOCK = 16384
 BLOCK = 4096
 LEAF = 64
+#: As many vectors make a child of their own.
+SPARSE = 16
 
 
 class CoverTree:
@@ -73,21 +75,35 @@ class CoverTree:
             self.children.append([])
             if parent >= 0:
                 self.children[parent].append(node)
-            if len(who) <= leaf or not d.any():
-                self.members.append(who)
-                continue
-            self.members.append(None)
-            scale = min(scale, float(d.max())) / 2
+            # a scale below zero marks a loose child
+            children = None if len(who) <= leaf or not d.any() or scale < 0 else self._split(c, who, d, min(scale, float(d.max())) / 2)
+            self.members.append(who if children is None else None)
+            stack += [(*child, node) for child in children or ()]
+        return 0
+
+    def _split(self, c: int, who: np.ndarray, d: np.ndarray, scale: float) -> list[tuple] | None:
+        """Children whose centres are more than ``scale`` apart. Vectors around which few others gather at this scale go
+        to one loose child, a leaf: it is multiplied faster than many nodes are walked. None if nothing gathers."""
+        out, loose, tries = [], [], max(2, len(who) // SPARSE)
+        while len(who) and tries:
             near = d <= scale
-            stack.append((c, who[near], d[near], scale, node))
+            near[who == c], tries = True, tries - 1
+            if near.sum() >= SPARSE:
+                out.append((c, who[near], d[near], scale))
+            else:
+                loose.append(who[near])
             who = who[~near]
-            while len(who):
-                d = self._from(who[0], who)
-                near = d <= scale
-                near[0], d[0] = True, 0
-                stack.append((who[0], who[near], d[near], scale, node))
-                who = who[~near]
-        return 0
+            if len(who):
+                c = int(who[0])
+                d = self._from(c, who)
+                d[0] = 0
+        loose = np.concatenate([*loose, who])
+        if not out or len(out) == 1 and not len(loose):
+            return None
+        if len(loose):
+            c = int(loose[0])
+            out.append((c, loose, self._from(c, loose), -1.0))
+        return out
 
 
 class Best:
