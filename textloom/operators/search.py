@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.operators.lines import line_array
 from textloom.plans import regex
@@ -151,7 +151,7 @@ def count_starts(df: DataFrame, p: Pattern, text: str = "text") -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.coalesce(found, F.lit(0)).cast("long").alias("matches"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _ends(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     import regex as engine
 
