@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.functions import chars, normalize
-from textloom.operators import counts, csvops, jsonops, lines, positional as P, search, xmlops
+from textloom.functions import chars, compress, normalize, tokens
+from textloom.operators import approx, audio, counts, csvops, jsonops, lines, positional as P, search, xmlops
 from textloom.operators.search import Pattern
+from textloom.plans import program, transforms
+from textloom.sources import files
+from textloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -645,3 +648,183 @@ def html_preprocess(spark, d):
 @query()
 def xml_check(spark, d):
     return table(spark, d, "pages", "page_id", "html").select("page_id", xmlops.check(F.col("html")).alias("c")).select("page_id", "c.*")
+
+
+# -- tokens
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\pL\pM\p{Nd}\p{Nl}\p{Pc}]+|[^\pL\pM\p{Nd}\p{Nl}\p{Pc}\s\x0B]+')) AS INTEGER) AS n FROM documents")
+def pretok_whitespace(spark, d):
+    return docs(spark, d).select("doc_id", F.size(tokens.pretokenize(F.col("text"), "whitespace")).alias("n"))
+
+
+@query("SELECT doc_id, array_to_string(string_split_regex(trim(text, ' ' || chr(10) || chr(9)), '[ \\n\\t]+'), '|') AS pieces FROM documents")
+def pretok_split(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(tokens.pretokenize(F.col("text"), "whitespacesplit"), "|").alias("pieces"))
+
+
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '(?s)[0-9]+|[^0-9]+'), '|') AS pieces FROM documents")
+def pretok_digits(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(tokens.pretokenize(F.col("text"), "digits"), "|").alias("pieces"))
+
+
+@query(r"SELECT item_id, array_to_string(regexp_extract_all(text, '(?s)[!-/:-@\[-`{-~\pP]|[^!-/:-@\[-`{-~\pP]+'), '|') AS isolated, array_to_string(regexp_extract_all(text, '(?s)[^!-/:-@\[-`{-~\pP]+'), '|') AS removed, array_to_string(regexp_extract_all(text, '(?s)[^!-/:-@\[-`{-~\pP]*[!-/:-@\[-`{-~\pP]|[^!-/:-@\[-`{-~\pP]+'), '|') AS previous, array_to_string(regexp_extract_all(text, '(?s)[!-/:-@\[-`{-~\pP]+|[^!-/:-@\[-`{-~\pP]+'), '|') AS contiguous FROM benchmark")
+def split_behaviours(spark, d):
+    t = F.col("text")
+    made = {n: F.array_join(tokens.pretokenize(t, "punctuation", b), "|") for n, b in (("isolated", "isolated"), ("removed", "removed"), ("previous", "mergedwithprevious"), ("contiguous", "contiguous"))}
+    return table(spark, d, "benchmark").select("item_id", *(c.alias(n) for n, c in made.items()))
+
+
+@query("SELECT doc_id, length(text) AS covered FROM documents")
+def pretok_gpt2(spark, d):
+    pieces = F.regexp_extract_all("text", F.lit(tokens.GPT2), F.lit(0))
+    return docs(spark, d).select("doc_id", F.aggregate(pieces, F.lit(0), lambda n, p: n + F.char_length(p)).alias("covered"))
+
+
+@query("SELECT doc_id, lower(strip_accents(regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g'))) AS text FROM documents")
+def normalizer_chain(spark, d):
+    return docs(spark, d).withColumn("text", tokens.normalize(F.col("text"), "strip", "stripaccents", "lowercase"))
+
+
+@query("SELECT doc_id, strlen(text) AS n FROM documents")
+def byte_level(spark, d):
+    return docs(spark, d).select("doc_id", F.char_length(tokens.to_byte_level(F.col("text"))).cast("long").alias("n"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{1}-\x{8}\x{B}\x{E}-\x{1F}\x{7F}\x{8F}\x{9F}]', '', 'g'), '[\x{9}\x{A}\x{C}\x{D}\x{1680}\x{200B}-\x{200F}\x{2028}\x{2029}\x{2581}\x{FEFF}\x{FFFD}]', ' ', 'g') AS text FROM documents")
+def normalizer_nmt(spark, d):
+    return docs(spark, d).withColumn("text", tokens.normalize(F.col("text"), "nmt"))
+
+
+_MERGES = [("t", "h"), ("th", "e"), ("i", "n"), ("Ġ", "the"), ("e", "r"), ("o", "n"), ("a", "n"), ("ti", "on"), ("t", "i"), ("ti", "on"), ("Ġ", "a")]
+
+
+@query()
+def bpe(spark, d):
+    return tokens.bpe_tokens(docs(spark, d), _MERGES).select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("ids"))
+
+
+# -- approximate matching, audio
+
+
+@query("WITH w AS (SELECT item_id, i, substr(regexp_replace(text, '[\\r\\n]', '', 'g'), CAST(i + 2 - m AS BIGINT), CAST(m AS BIGINT)) AS s FROM (SELECT item_id, text, unnest(generate_series(0, length(regexp_replace(text, '[\\r\\n]', '', 'g')) - 1)) AS i FROM benchmark), (SELECT unnest(generate_series(0, 7)) AS m) WHERE m <= i + 1) SELECT item_id, 0 AS pattern_no, CAST(i AS INTEGER) AS \"end\", CAST(min(levenshtein(s, 'thing')) AS INTEGER) AS distance FROM w GROUP BY item_id, i HAVING min(levenshtein(s, 'thing')) <= 2")
+def edit_distance(spark, d):
+    return approx.approximate_matches(table(spark, d, "benchmark", "item_id", "text"), ["thing"], 2)
+
+
+@query("WITH e AS (SELECT DISTINCT doc_id, length(text) % 50 + k * 3 AS e FROM documents, (VALUES (1), (2), (9)) AS t(k)) SELECT doc_id, CAST(e AS INTEGER) AS \"end\", (SELECT count(*) FROM e y WHERE y.doc_id = e.doc_id AND y.e BETWEEN e.e - 4 AND e.e) AS n FROM e WHERE (SELECT count(*) FROM e y WHERE y.doc_id = e.doc_id AND y.e BETWEEN e.e - 4 AND e.e) >= 2")
+def second_filter(spark, d):
+    hits = docs(spark, d).select("doc_id", F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(9)), lambda k: F.char_length("text") % 50 + k * 3)).alias("end"))
+    return approx.dense_windows(hits, "doc_id", 5, 2)
+
+
+@query("SELECT p_partkey, pattern, CAST(levenshtein(p_type, pattern) AS INTEGER) AS distance FROM part, (VALUES ('STANDARD'), ('SMALL')) AS t(pattern) WHERE levenshtein(p_type, pattern) <= 3")
+def near_patterns(spark, d):
+    return approx.near_patterns(table(spark, d, "part", "p_partkey", "p_type"), "p_type", ["STANDARD", "SMALL"], 3).select("p_partkey", "pattern", "distance")
+
+
+@query("SELECT event_id, greatest(least(CAST(round(value) AS BIGINT) * 900, 32767), -32768) AS x FROM events")
+def amplify(spark, d):
+    return table(spark, d, "events", "event_id", "value").select("event_id", audio.amplify(F.round("value").cast("long"), 900).alias("x"))
+
+
+@query("SELECT event_id, CAST(floor((CAST(round(value) AS BIGINT) + user_id - 40) / 2.0) AS BIGINT) AS x FROM events")
+def stereo_to_mono(spark, d):
+    return table(spark, d, "events", "event_id", "user_id", "value").select("event_id", audio.to_mono(F.round("value").cast("long"), F.col("user_id") - 40).alias("x"))
+
+
+@query("SELECT event_id, coalesce(abs(CAST(round(value) AS BIGINT) - lag(CAST(round(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id)) >= 20, false) AS m FROM events")
+def discontinuity(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id", "value").withColumn("x", F.round("value").cast("long"))
+    return e.select("event_id", audio.discontinuities(F.col("x"), 20, "user_id", "event_id").alias("m"))
+
+
+@query("SELECT l_orderkey, l_linenumber, [l_partkey, l_partkey + 1] AS l, [l_suppkey, l_suppkey + 1] AS r FROM lineitem")
+def interleave_channels(spark, d):
+    t = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    both = audio.interleave(F.array("l_partkey", F.col("l_partkey") + 1), F.array("l_suppkey", F.col("l_suppkey") + 1))
+    return t.select("l_orderkey", "l_linenumber", audio.channel(both, 0, 2).alias("l"), audio.channel(both, 1, 2).alias("r"))
+
+
+# -- compression, transforms, programs
+
+
+def _round_trip(spark, d, kind):
+    return docs(spark, d).select("doc_id", F.decode(compress.decompress(compress.compress(F.col("text"), kind), kind), "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def ztf_prefix(spark, d):
+    return _round_trip(spark, d, "prefix")
+
+
+@query("SELECT doc_id, text FROM documents")
+def ztf_runs(spark, d):
+    return _round_trip(spark, d, "runs")
+
+
+@query("SELECT doc_id, text FROM documents")
+def ztf_words(spark, d):
+    return _round_trip(spark, d, "words")
+
+
+@query(r"SELECT length_group, count(*) AS n FROM (SELECT CASE WHEN strlen(w) <= 4 THEN 0 WHEN strlen(w) <= 8 THEN 1 WHEN strlen(w) <= 16 THEN 2 ELSE 3 END AS length_group FROM (SELECT unnest(regexp_extract_all(text, '\pL+')) AS w FROM documents)) GROUP BY length_group")
+def word_length_groups(spark, d):
+    return docs(spark, d).select(F.explode(compress.word_groups(F.col("text"))).alias("g")).groupBy("g.length_group").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, upper(nfc_normalize(text)) AS text FROM documents WHERE NOT contains(text, 'ß')")
+def named_transforms(spark, d):
+    return docs(spark, d).where("NOT contains(text, 'ß')").withColumn("text", transforms.transform(transforms.transform(F.col("text"), "Any-NFC"), "Any-Upper"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(replace(replace(replace(text, 'sch', 'š'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'k([ei])', 'c\\1', 'g') AS text FROM documents")
+def rule_transform(spark, d):
+    return docs(spark, d).withColumn("text", transforms.Transform("sch > š; ä <> ae; ö <> oe; ü <> ue; k } [ei] > c;").column(F.col("text")))
+
+
+@query(_POS + _NEXT + " , s AS (SELECT item_id, pos, a AND NOT coalesce(lag(a) OVER (PARTITION BY item_id ORDER BY pos), false) AS st FROM p) SELECT p.item_id, p.pos, EXISTS (SELECT 1 FROM n y JOIN s z ON z.item_id = y.item_id AND z.pos = y.pos WHERE y.item_id = p.item_id AND z.st AND y.stop = p.pos) OR p.sp AS m FROM p")
+def bit_program(spark, d):
+    k = program.Kernel("""
+        kernel ends :: [<i1> a, <i1> v, <i1> sp] -> [<i1> m] {
+            start = a & ~Advance(a, 1)
+            m = ScanThru(start, v) | sp
+        }""")
+    return k(_pos(spark, d)).select("item_id", "pos", "m")
+
+
+# -- sources and streams
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE 'part%7%' THEN false WHEN p_name LIKE '%1_' THEN true ELSE false END AS ok FROM part")
+def select_names(spark, d):
+    rules = [("include", "*1?"), ("exclude", "part*7*")]
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", files.selected(F.col("p_name"), rules, "file").alias("ok"))
+
+
+@query()
+def random_numbers(spark, d):
+    return files.random_stream(spark, 1000, 8, 3)
+
+
+@query("SELECT doc_id, text FROM documents WHERE false")
+def empty_stream(spark, d):
+    return files.empty_stream(docs(spark, d))
+
+
+@query(_lines_sql("SELECT doc_id, line_no, line FROM l WHERE regexp_matches(line, 'th[a-z]+ing')"))
+def stream_grep(spark, d):
+    s = streams.read_table_stream(spark, f"{d}/documents.parquet").select("doc_id", "text")
+    return streams.on_stream(s, lambda df: search.grep(df, Pattern("th[a-z]+ing")))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_counts(spark, d):
+    s = streams.read_table_stream(spark, f"{d}/events.parquet").select("event_type")
+    return streams.drain(s.groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+
+
+@query("SELECT conv_id, turn AS piece, CAST(1 + coalesce(sum(strlen(text) - strlen(replace(text, chr(10), ''))) OVER w, 0) AS BIGINT) AS first_line, CAST(coalesce(sum(2 * strlen(text) - 2 * strlen(replace(text, '(', '')) - (strlen(text) - strlen(replace(text, '(', ''))) - (strlen(text) - strlen(replace(text, ')', '')))) OVER w, 0) AS BIGINT) AS depth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def stream_pieces(spark, d):
+    s = streams.read_table_stream(spark, f"{d}/conversations.parquet").select("conv_id", F.col("turn").alias("piece"), "text")
+    return streams.drain(streams.number_pieces(s, "conv_id"))
