@@ -233,8 +233,6 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
         except Bad as e:
             reason, next_ = str(e), at
             while (next_ := source.find(mark, next_ + 1)) >= 0:
-                if not zipped and source.read(next_ - 1, 1) != b"\n":
-                    continue
                 try:
                     found, end = _at(source, next_, zipped)
                     break
