@@ -38,7 +38,7 @@ def neighbours(turns: DataFrame) -> DataFrame:
 def pair_up(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """The turns of given ``pairs`` (pair_id, chosen_id, rejected_id)."""
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s"))
-    return turns.join(sides.select("pair_id", "s.side", "s.conv_id"), "conv_id").select("pair_id", "side", "turn", "role", "text")
+    return turns.select("conv_id", "turn", "role", "text").join(sides.select("pair_id", "s.side", "s.conv_id"), "conv_id").select("pair_id", "side", "turn", "role", "text")
 
 
 def format_pairs(sides: DataFrame, trained_role: str = "assistant") -> DataFrame:
