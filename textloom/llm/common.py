@@ -1,12 +1,21 @@
-"""What the operators of this subpackage share: table access and scratch tables."""
+"""What the operators of this subpackage share: table access, scratch tables and Python over Arrow batches."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows of a batch that are Python objects at a time; the batch itself stays Arrow memory.
+SLICE = 1024
 
 _ROOTS: dict[str, SparkSession] = {}
 
@@ -59,6 +68,50 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def lean() -> None:
+    """Gives back what earlier tasks left in this worker: it is used again, and its allocators keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE) -> DataFrame:
+    """As ``mapInPandas``, but ``run`` gets slices of at most ``rows`` rows. Whole numbers with nulls stay whole."""
+    kind = T.StructType.fromDDL(schema)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows).to_pandas(integer_object_nulls=True)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        arrow = to_arrow_schema(kind)
+        for frame in run(slices(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(go, kind)
+
+
+def append_columns(df: DataFrame, added: list[T.StructField], start: Callable[[], Callable[[pa.RecordBatch], list[list]]], rows: int = SLICE) -> DataFrame:
+    """``df`` with the ``added`` columns. ``start`` is called once a task; what it returns turns a slice into their values.
+    The columns of ``df`` go through as they are."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        make, kinds = start(), to_arrow_schema(T.StructType(added))
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                made = [pa.array(values, f.type) for values, f in zip(make(part), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=pa.schema([*part.schema, *kinds]))
+
+    return df.mapInArrow(go, T.StructType([*df.schema.fields, *added]))
+
+
 @atexit.register
 def _clean() -> None:
     for root, spark in _ROOTS.items():

@@ -25,12 +25,12 @@ row. Other columns of the documents are not read, so clashing names don't matter
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from textloom.llm.common import append_columns
+
 WINDOW = 10
 SHARD_BYTES = 16_000_000
 _TABLE_BITS = 18
@@ -173,16 +173,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
             c = f"{c}_"
         names.append(c)
     kinds = [T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.LongType())]
-    out = docs
+    added = [T.StructField(n, t) for n, t in zip(names, kinds, strict=True)]
+    out = docs.withColumn("text", F.col("text").cast("string"))
     for k, shard in enumerate(_shards(items, shard_bytes)):
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in shard.collect()])  # at most about shard_bytes
-        schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, kinds, strict=True))])
 
-        def run(frames: Iterator[pd.DataFrame], shared=shared, again=k > 0) -> Iterator[pd.DataFrame]:
+        def start(shared=shared, again=k > 0, place=out.columns.index("text")):
             matcher = Matcher(shared.value, window)
-            for frame in frames:
+
+            def mark(batch: pa.RecordBatch) -> list[list]:
                 made: list[list] = [[], [], [], []]
-                before = frame[[names[2], names[3]]].itertuples(index=False, name=None) if again else ((None, None),) * len(frame)
+                before = zip(*(batch.column(batch.num_columns - n).to_pylist() for n in (2, 1)), strict=True) if again else ((None, None),) * batch.num_rows
                 texts: list[np.ndarray] = []
                 known: list[tuple] = []
 
@@ -207,7 +208,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
                     known.clear()
 
                 size = 0
-                for text, one in zip(frame["text"], before, strict=True):
+                for text, one in zip(batch.column(place).to_pylist(), before, strict=True):
                     texts.append(matcher.numbers(text))
                     known.append(one)
                     size += len(texts[-1])
@@ -215,9 +216,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
                         flush()
                         size = 0
                 flush()
-                yield frame.assign(**dict(zip(names, (pd.Series(m, index=frame.index, dtype=object) for m in made), strict=True)))
+                return made
+
+            return mark
 
-        out = out.mapInPandas(run, schema)
+        made = append_columns(out, [T.StructField(f"_shard_{n}", t) for n, t in zip(names, kinds, strict=True)] if k else added, start)
+        out = made.select(*docs.columns, *(F.col(f"_shard_{n}").alias(n) for n in names)) if k else made
     return out
 
 

@@ -19,11 +19,11 @@ are not read by ``predict``; ``lang``, ``source`` and ``doc_id`` are no input of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from textloom.llm.common import append_columns
 
 SEGMENT = 64
 HIDDEN = 8
@@ -223,16 +223,18 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     if network is None:
         return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
 
-    @F.pandas_udf("struct<lang: string, score: double>")
-    def label(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            p = network.documents(list(batch))
+    def start():
+        def label(batch: pa.RecordBatch) -> list[list]:
+            p = network.documents(batch.column(place).to_pylist())
             best = p.argmax(1)
-            yield pd.DataFrame({"lang": np.array(network.langs, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0, 1)})
+            return [np.array(network.langs, object)[best].tolist(), np.clip(p[np.arange(len(p)), best], 0, 1).tolist()]
+
+        return label
 
-    letter = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
-    made = docs.withColumn("_made", label(F.when(letter, F.col("text").cast("string"))))
-    return made.select(*docs.columns, F.when(letter, F.col("_made.lang")).otherwise(F.lit("und")).alias(names[0]), F.when(letter, F.col("_made.score")).otherwise(F.lit(0.0)).alias(names[1]))
+    place = docs.columns.index("text")
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    made = append_columns(docs.withColumn("text", F.col("text").cast("string")), [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], start)
+    return made.withColumns({names[0]: F.when(letter, F.col(names[0])).otherwise(F.lit("und")), names[1]: F.when(letter, F.col(names[1])).otherwise(F.lit(0.0))})
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.common import map_slices
+
 CAPACITY = 1024
 CLOSING_ID = 0
 POOL = 16384
@@ -208,4 +210,4 @@ def pack(docs: DataFrame, json_file: str | None = None, rank_file: str | None =
             file, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
         yield from pack_partition(frames, Encoder(ranks, file), TaskContext.get().partitionId(), capacity, closing_id, pool)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCHEMA)
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA)

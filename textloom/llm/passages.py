@@ -29,7 +29,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, map_slices
 from textloom.llm.components import Union, buckets, components
 
 MIN_WORDS, SHINGLE, SIMILARITY = 30, 5, 0.8
@@ -126,15 +126,13 @@ def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k in range(0, len(frame), 2048):
-                part = frame.iloc[k : k + 2048]
-                bits = signatures([shingle_hashes(t) for t in part["norm"]], bands, rows).view(np.int64)
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), bands), "key": bits.ravel()})
+            bits = signatures([shingle_hashes(t) for t in frame["norm"]], bands, rows).view(np.int64)
+            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), bands), "key": bits.ravel()})
 
     # the text of a paragraph is taken where its first occurrence stands, so copies are hashed once and no text is shuffled
     once = every.join(points.select(F.col("id").alias("_point"), "first"), (F.col("id") == F.col("_point")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("para") == F.col("first.para")) & (F.col("text_hash") == F.col("first.text_hash")))
     once = scratch.keep(once.select("id", "norm"), "once")
-    keys = once.mapInPandas(sign, "id binary, key long")
+    keys = map_slices(once, sign, "id binary, key long")
 
     def collide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, size = [], 0
@@ -149,15 +147,13 @@ def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
         if size:
             yield pd.concat(made)
 
-    hits = scratch.keep(keys.repartition("key").sortWithinPartitions("key").mapInPandas(collide, "id binary, key long, slot int, parts int"), "hits")
+    hits = scratch.keep(map_slices(keys.repartition("key").sortWithinPartitions("key"), collide, "id binary, key long, slot int, parts int", 1 << 14), "hits")
 
     def shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k in range(0, len(frame), 2048):
-                part = frame.iloc[k : k + 2048]
-                yield pd.DataFrame({"id": part["id"], "shingles": [shingle_hashes(t).tobytes() for t in part["norm"]]})
+            yield pd.DataFrame({"id": frame["id"], "shingles": [shingle_hashes(t).tobytes() for t in frame["norm"]]})
 
-    some = once.join(hits.select("id").distinct(), "id", "left_semi").mapInPandas(shingle, "id binary, shingles binary")
+    some = map_slices(once.join(hits.select("id").distinct(), "id", "left_semi"), shingle, "id binary, shingles binary")
     some = scratch.keep(some, "shingles")
     # a bucket of several blocks goes out once for each pair of blocks
     pair = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
@@ -181,7 +177,7 @@ def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
         if a:
             yield pd.DataFrame({"a": a, "b": b})
 
-    links = scratch.keep(routed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(verify, "a binary, b binary"), "verified")
+    links = scratch.keep(map_slices(routed.repartition("bucket").sortWithinPartitions("bucket"), verify, "a binary, b binary"), "verified")
     joined = components(links, scratch)
     named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
