@@ -54,32 +54,47 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def buckets(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Runs of at least two rows with equal ``key`` of a partition that is sorted by it; a run may span
-    batches. Rows alone are dropped without a look."""
+def whole_runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows of a partition that is sorted by ``key`` in frames that split no run of equal keys; a run may span batches."""
     held: list[pd.DataFrame] = []
-
-    def runs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        k = frame[key].to_numpy()
-        edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        size = np.diff(edge)
-        for a, n in zip(edge[:-1][size > 1], size[size > 1], strict=True):
-            yield frame.iloc[a : a + n]
-
     for frame in frames:
         if not len(frame):
             continue
         k = frame[key].to_numpy()
         if held and held[0][key].iloc[0] != k[0]:
-            yield from runs(pd.concat(held))
+            yield pd.concat(held)
             held = []
         last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
         if last:
-            yield from runs(pd.concat([*held, frame.iloc[:last]]) if held else frame.iloc[:last])
+            yield pd.concat([*held, frame.iloc[:last]]) if held else frame.iloc[:last]
             held = []
         held.append(frame.iloc[last:])
     if held:
-        yield from runs(pd.concat(held))
+        yield pd.concat(held)
+
+
+def buckets(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Runs of at least two rows with equal ``key`` of a partition that is sorted by it. Rows alone are dropped without a look."""
+    for frame in whole_runs(frames, key):
+        k = frame[key].to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+        size = np.diff(edge)
+        for a, n in zip(edge[:-1][size > 1], size[size > 1], strict=True):
+            yield frame.iloc[a : a + n]
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of the component of each of 0 to n - 1 under the links (a, b)."""
+    up = np.arange(n)
+    while len(a):
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        while (up[up] != up).any():
+            up = up[up]
+        open_ = up[a] != up[b]
+        a, b = a[open_], b[open_]
+    return up
 
 
 class Union:

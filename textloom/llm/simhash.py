@@ -12,8 +12,8 @@ trees go to the points instead of to every executor. Two ways to route:
 * ``exact_keys``: the fingerprint is cut into ``blocks`` bit blocks. Two points that differ in at most
   ``radius`` bits agree in at least ``blocks - radius`` blocks, so each choice of that many blocks is a
   shard key and no link is lost.
-* ``sampled_keys``: keys are random choices of bits, for wide fingerprints and radii where an exact
-  routing would compare everything; the recall is tuned by the number of keys.
+* ``wide_keys``: keys are random choices of bits, for wide fingerprints and radii where an exact
+  routing would compare everything; the recall is tuned by the number of keys, the shards' size by their bits.
 
 Scale: only (key, fingerprint) rows are shuffled. A task reads its shards in order and holds one; it
 gives one row a point and shard (a link to the shard's smallest linked point), never all pairs. Within a
@@ -28,7 +28,8 @@ rows are returned as often as they occur. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,11 +37,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import Scratch
-from textloom.llm.components import Union, buckets, components
+from textloom.llm.common import Scratch, map_slices
+from textloom.llm.components import components, roots, whole_runs
 
 SHINGLE, RADIUS, BLOCKS = 3, 2, 4
 LEAF = 128
+#: Shards of at most so many points are searched many at once.
+SMALL = 16
 _BATCH = 32768
 
 
@@ -84,9 +87,8 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
             made = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, words)
             yield pd.DataFrame({"doc_id": frame["doc_id"], **{n: made[:, k] for k, n in enumerate(names)}})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_slices(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def exact_keys(radius: int = RADIUS, blocks: int = BLOCKS) -> list[list[int]]:
@@ -108,6 +110,14 @@ def sampled_keys(words: int, keys: int, bits: int, seed: int = 7) -> list[list[i
     return out
 
 
+def wide_keys(points: int, words: int, radius: int, recall: float, bits: int) -> list[list[int]]:
+    """Sampled keys for so many points: a shard stays small on average as the points grow (``bits`` at least), and the number of keys
+    follows, so that two points ``radius`` bits apart meet with probability ``recall``."""
+    bits = max(bits, points.bit_length() - 2)
+    meet = (1 - radius / (64 * words)) ** bits
+    return sampled_keys(words, math.ceil(math.log(1 - recall) / math.log(1 - meet)), bits)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -166,8 +176,8 @@ def link(x: np.ndarray, radius: int, seeds: int = 64, block: int = 256) -> np.nd
     """For each point of a shard the smallest number of a point in its component (single links)."""
     n = len(x)
     alive = np.ones(n, bool)
-    union = Union(n)
     tree, built = BKTree(x, np.arange(n)), n
+    links: list[tuple[np.ndarray, np.ndarray]] = []
 
     def search(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nonlocal tree, built
@@ -184,16 +194,33 @@ def link(x: np.ndarray, radius: int, seeds: int = 64, block: int = 256) -> np.nd
                 now, front = front[:block], front[block:]
                 hit = np.unique(search(now)[1])
                 alive[hit] = False
-                for h in hit.tolist():
-                    union.join(seed, h)
+                links.append((np.full(len(hit), seed), hit))
                 front = np.concatenate([front, hit])
     rest = np.flatnonzero(alive)
     for k in range(0, len(rest), block):
         now = rest[k : k + block]
-        for a, b in zip(*search(now), strict=True):
-            union.join(int(a), int(b))
+        a, b = search(now)
+        root = roots(n, a, b)  # a block's links are at once a spanning forest
+        far = np.flatnonzero(root != np.arange(n))
+        links.append((root[far], far))
         alive[now] = False
-    return np.array([union.find(i) for i in range(n)])
+    a, b = (np.concatenate(z) for z in zip(*links, strict=True))
+    return roots(n, a, b)
+
+
+def _small(x: np.ndarray, key: np.ndarray, most: int, radius: int) -> np.ndarray:
+    """As ``link`` for many shards of at most ``most`` points at once: each is one leaf, compared row by next row."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = np.arange(len(key))
+    for step in range(1, most):
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]  # what ends here has no farther partner either
+        if not len(at):
+            break
+        near = at[BKTree.distance(x[at], x[at + step]) <= radius]
+        a.append(near)
+        b.append(near + step)
+    return roots(len(key), np.concatenate(a), np.concatenate(b))
 
 
 def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words: int) -> DataFrame:
@@ -204,43 +231,39 @@ def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words:
     routed = points.select("id", *names, F.explode(F.transform(F.array(*key), lambda k: F.xxhash64(k))).alias("key"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made_a, made_b, count = [], [], 0
-        for shard in buckets(frames, "key"):
-            ids = shard["id"].to_numpy()
-            x = shard[names].to_numpy().view(np.uint64)
-            if len(ids) == 2:
-                if BKTree.distance(x[0], x[1]) <= radius:
-                    made_a.append(ids[:1])
-                    made_b.append(ids[1:])
-                    count += 1
-            else:
-                order = np.argsort(ids)
-                root = link(np.ascontiguousarray(x[order]), radius)
-                far = np.flatnonzero(root != np.arange(len(root)))
-                if len(far):
-                    made_a.append(ids[order][root[far]])
-                    made_b.append(ids[order][far])
-                    count += len(far)
-            if count > 65536:
-                yield pd.DataFrame({"a": np.concatenate(made_a), "b": np.concatenate(made_b)})
-                made_a, made_b, count = [], [], 0
-        if count:
-            yield pd.DataFrame({"a": np.concatenate(made_a), "b": np.concatenate(made_b)})
-
-    return routed.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, masks: list[list[int]] | None = None) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of ``docs`` (doc_id, text)."""
-    masks = masks or exact_keys(radius)
-    words = len(masks[0])
+        for frame in whole_runs(frames, "key"):
+            key, ids = frame["key"].to_numpy(), frame["id"].to_numpy()
+            x = np.ascontiguousarray(frame[names].to_numpy().view(np.uint64))
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            size = np.diff(edge)
+            many = np.repeat(size, size)
+            few = np.flatnonzero((many > 1) & (many <= SMALL))
+            root = _small(x[few], key[few], SMALL, radius)
+            far = np.flatnonzero(root != np.arange(len(root)))
+            a, b = [ids[few[root[far]]]], [ids[few[far]]]
+            for start, n in zip(edge[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                own = ids[start : start + n]
+                root = link(x[start : start + n], radius)
+                far = np.flatnonzero(root != np.arange(n))
+                a.append(own[root[far]])
+                b.append(own[far])
+            made = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            if len(made):
+                yield made
+
+    return map_slices(routed.repartition("key").sortWithinPartitions("key"), run, "a long, b long", 1 << 15)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, masks: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
+    """(doc_id, w0, ..., component_id) for each row of ``docs`` (doc_id, text). ``masks``: the shard keys for a number of points; none: exact ones."""
     names = [f"w{k}" for k in range(words)]
     scratch = Scratch(docs.sparkSession, "simhash")
     marks = fingerprints(docs, shingle, words)
     marks = scratch.keep(marks.withColumn("id", F.col("w0") if words == 1 else F.xxhash64(*names)), "marks")
     # a wide fingerprint's id is its hash: equal ids of different fingerprints are too rare to matter, and harmless only if near
     points = scratch.keep(marks.groupBy("id", *names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
-    links = scratch.keep(_shard_links(points.select("id", *names), masks, radius, words), "shards")
+    keys = masks(points.count()) if masks else exact_keys(radius)
+    links = scratch.keep(_shard_links(points.select("id", *names), keys, radius, words), "shards")
     joined = components(links, scratch)
     named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
@@ -257,16 +280,16 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
 
 
 #: Fingerprints of 256 bits of five-word shingles. Documents of shingle Jaccard similarity 0.8 have a cosine of 0.89
-#: and differ in 15 % of the bits. 48 keys of 18 bits find 93 % of pairs at 0.8 and over 99 % from 0.87 on.
-WIDE = {"shingle": 5, "radius": 38, "words": 4, "keys": 48, "bits": 18}
+#: and differ in 15 % of the bits. The keys find 93 % of pairs at 0.8 and over 99 % from 0.87 on.
+WIDE = {"shingle": 5, "radius": 38, "words": 4, "recall": 0.93, "bits": 18}
 
 
-def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], words: int = WIDE["words"], keys: int = WIDE["keys"], bits: int = WIDE["bits"]) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], words: int = WIDE["words"], recall: float = WIDE["recall"], bits: int = WIDE["bits"]) -> DataFrame:
     """``docs`` without near copies: of each component the row of the smallest doc_id stays.
 
     Rows that share that doc_id stay together, and so do rows of null doc_id, which nothing can name.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = near_duplicates(docs, shingle, radius, sampled_keys(words, keys, bits))
+    found = near_duplicates(docs, shingle, radius, words, lambda points: wide_keys(points, words, radius, recall, bits))
     gone = scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
