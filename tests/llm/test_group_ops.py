@@ -104,6 +104,33 @@ def test_near_copies_go(spark, sim_docs):
     assert simhash.deduplicate(near.limit(0)).count() == 0
 
 
+def pair_at(random, jaccard, n=300):
+    """Two texts of n shingles each whose sets have about this similarity (the last words differ)."""
+    a = [f"v{k}" for k in random.integers(0, 1 << 40, n + 4).tolist()]
+    b = list(a)
+    new = round(n * (1 - jaccard) / (1 + jaccard))
+    b[len(b) - new :] = [f"u{k}" for k in random.integers(0, 1 << 40, new).tolist()]
+    return " ".join(a), " ".join(b)
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    random = np.random.default_rng(5)
+    rows = [(1000 * g + 2 * i + j, t) for g, s in enumerate((0.81, 0.78)) for i in range(150) for j, t in enumerate(pair_at(random, s))]
+    same, other = (" ".join(["the same five words here"] * 200 + [f"{w}{k}" for k in range(100)]) for w in "ab")  # equal fingerprints of repeated shingles
+    rows += [(5000, same), (5001, other)]
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len([i for i in gone if i < 1000]) >= 0.95 * 150
+    assert not [i for i in gone if i >= 1000]
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_blocks_of_candidates_lose_no_link(spark, block):
+    words = [f"k{i}" for i in range(400)]
+    rows = [(n, " ".join(words[n : n + 300])) for n in range(0, 100, 10)]  # a chain: each is like the next, the ends are not alike
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 # -- passages
 
 

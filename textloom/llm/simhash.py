@@ -15,6 +15,9 @@ trees go to the points instead of to every executor. Two ways to route:
 * ``wide_keys``: keys are random choices of bits, for wide fingerprints and radii where an exact
   routing would compare everything; the recall is tuned by the number of keys, the shards' size by their bits.
 
+``deduplicate`` takes such links as candidates only: documents in one component of candidates meet with their shingle
+sets, and the links that count are those of exact Jaccard similarity.
+
 Scale: only (key, fingerprint) rows are shuffled. A task reads its shards in order and holds one; it
 gives one row a point and shard (a link to the shard's smallest linked point), never all pairs. Within a
 shard whole components are grown first and leave the tree, so thousands of near copies cost
@@ -29,7 +32,7 @@ rows are returned as often as they occur. Other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,12 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.common import Scratch, map_slices
-from textloom.llm.components import components, roots, whole_runs
+from textloom.llm.components import buckets, components, roots, whole_runs
+from textloom.llm.passages import similar
 
 SHINGLE, RADIUS, BLOCKS = 3, 2, 4
 LEAF = 128
 #: Shards of at most so many points are searched many at once.
 SMALL = 16
+#: Components of more candidates are dealt out as pairs of blocks.
+BLOCK = 1024
 _BATCH = 32768
 
 
@@ -111,9 +117,9 @@ def sampled_keys(words: int, keys: int, bits: int, seed: int = 7) -> list[list[i
 
 
 def wide_keys(points: int, words: int, radius: int, recall: float, bits: int) -> list[list[int]]:
-    """Sampled keys for so many points: a shard stays small on average as the points grow (``bits`` at least), and the number of keys
-    follows, so that two points ``radius`` bits apart meet with probability ``recall``."""
-    bits = max(bits, points.bit_length() - 2)
+    """Sampled keys for so many points: a shard keeps at most 256 points on average as the points grow (``bits`` at least), and the number
+    of keys follows, so that two points ``radius`` bits apart meet with probability ``recall``."""
+    bits = max(bits, points.bit_length() - 8)
     meet = (1 - radius / (64 * words)) ** bits
     return sampled_keys(words, math.ceil(math.log(1 - recall) / math.log(1 - meet)), bits)
 
@@ -223,7 +229,7 @@ def _small(x: np.ndarray, key: np.ndarray, most: int, radius: int) -> np.ndarray
     return roots(len(key), np.concatenate(a), np.concatenate(b))
 
 
-def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words: int) -> DataFrame:
+def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words: int, small: int = SMALL) -> DataFrame:
     """(a, b): links of points (ids with words) that span each shard's components."""
     names = [f"w{k}" for k in range(words)]
     key: list[Column] = [F.struct(F.lit(n).alias("n"), *(F.col(w).bitwiseAND(F.lit(_signed(m))).alias(w) for w, m in zip(names, mask, strict=True))) for n, mask in enumerate(masks)]
@@ -237,11 +243,11 @@ def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words:
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             size = np.diff(edge)
             many = np.repeat(size, size)
-            few = np.flatnonzero((many > 1) & (many <= SMALL))
-            root = _small(x[few], key[few], SMALL, radius)
+            few = np.flatnonzero((many > 1) & (many <= small))
+            root = _small(x[few], key[few], small, radius)
             far = np.flatnonzero(root != np.arange(len(root)))
             a, b = [ids[few[root[far]]]], [ids[few[far]]]
-            for start, n in zip(edge[:-1][size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            for start, n in zip(edge[:-1][size > small].tolist(), size[size > small].tolist(), strict=True):
                 own = ids[start : start + n]
                 root = link(x[start : start + n], radius)
                 far = np.flatnonzero(root != np.arange(n))
@@ -254,16 +260,17 @@ def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words:
     return map_slices(routed.repartition("key").sortWithinPartitions("key"), run, "a long, b long", 1 << 15)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1, masks: Callable[[int], list[list[int]]] | None = None) -> DataFrame:
-    """(doc_id, w0, ..., component_id) for each row of ``docs`` (doc_id, text). ``masks``: the shard keys for a number of points; none: exact ones."""
-    names = [f"w{k}" for k in range(words)]
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, w0, component_id) for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks = fingerprints(docs, shingle, words)
-    marks = scratch.keep(marks.withColumn("id", F.col("w0") if words == 1 else F.xxhash64(*names)), "marks")
-    # a wide fingerprint's id is its hash: equal ids of different fingerprints are too rare to matter, and harmless only if near
-    points = scratch.keep(marks.groupBy("id", *names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
-    keys = masks(points.count()) if masks else exact_keys(radius)
-    links = scratch.keep(_shard_links(points.select("id", *names), keys, radius, words), "shards")
+    marks = scratch.keep(fingerprints(docs, shingle, 1).withColumn("id", F.col("w0")), "marks")
+    points = scratch.keep(marks.groupBy("id", "w0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
+    links = scratch.keep(_shard_links(points.select("id", "w0"), exact_keys(radius), radius, 1), "shards")
+    return _classes(marks, points, links, ["w0"], scratch)
+
+
+def _classes(marks: DataFrame, points: DataFrame, links: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    """``marks`` with the component_id that the links of their points give."""
     joined = components(links, scratch)
     named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
@@ -279,17 +286,123 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of 256 bits of five-word shingles. Documents of shingle Jaccard similarity 0.8 have a cosine of 0.89
-#: and differ in 15 % of the bits. The keys find 93 % of pairs at 0.8 and over 99 % from 0.87 on.
-WIDE = {"shingle": 5, "radius": 38, "words": 4, "recall": 0.93, "bits": 18}
+#: Fingerprints of 256 bits of the distinct five-word shingles choose candidates. Documents of Jaccard similarity 0.8 have a
+#: cosine of 0.89 and differ in 39 bits on average, with a deviation of under 6, so the radius is three of these wider. ``recall`` is
+#: that of the keys for two points right at the radius; nearer ones are found more often (README has the measured recall).
+WIDE = {"shingle": 5, "radius": 56, "words": 4, "recall": 0.8, "bits": 14}
+SIMILARITY = 0.8
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
+    joined, starts, ends = shingles_of(text, size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
-def deduplicate(docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], words: int = WIDE["words"], recall: float = WIDE["recall"], bits: int = WIDE["bits"]) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the smallest doc_id stays.
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The fingerprint of a set of shingles as uint64 words: each shingle counts once, as in the Jaccard similarity."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    count = np.zeros((words, 64), np.int64)
+    for k in range(0, len(hashes), _BATCH):
+        for w in range(words):
+            x = hashes[k : k + _BATCH] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)  # splitmix64
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            count[w] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(hashes), axis=1).view(">u8").astype(np.uint64).ravel()
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    """What stands for a set: equal sets are one point."""
+    return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+
+
+def set_marks(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, id, w0, w1, ...) of the shingle sets."""
+    names = [f"w{k}" for k in range(words)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, made = np.empty(len(frame), np.int64), np.empty((len(frame), words), np.uint64)
+            for k, text in enumerate(frame["text"]):
+                hashes = shingle_set(text, shingle)
+                ids[k], made[k] = _set_id(hashes), set_fingerprint(hashes, words)
+            signed = made.view(np.int64)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "id": ids, **{n: signed[:, k] for k, n in enumerate(names)}})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_slices(rows, run, "doc_id long, id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def link_sets(sets: list[np.ndarray], x: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """For each set the smallest number of a set in its component: links are pairs of fingerprints (rows of ``x``) within the
+    radius whose sets have Jaccard similarity ``least``. Pairs of one component already are not compared."""
+    label = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        far = BKTree.distance(x[:i], x[i])
+        near = np.flatnonzero(far <= radius)
+        near = near[np.argsort(far[near], kind="stable")]
+        while len(near):
+            j, near = near[0], near[1:]
+            if similar(sets[i], sets[j], least):
+                a, b = sorted((label[i], label[j]))
+                label[: i + 1][label[: i + 1] == b] = a
+                near = near[label[near] != a]
+    return label
+
+
+def _verified(docs: DataFrame, points: DataFrame, links: DataFrame, shingle: int, radius: int, words: int, least: float, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links that span the components of exact similarity within the components of the candidate ``links``."""
+    names = [f"w{k}" for k in range(words)]
+    found = scratch.keep(components(links, scratch), "candidates")
+    parts = found.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    found = found.join(scratch.keep(parts, "parts"), "root").withColumnRenamed("node", "id")
+    found = scratch.keep(found.join(points, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = [shingle_set(t, shingle) for t in frame["text"]]
+            yield pd.DataFrame({"id": [_set_id(h) for h in sets], "shingles": [h.tobytes() for h in sets]})
+
+    # the text of a point is read again where its first document stands
+    firsts = scratch.keep(found.select(F.col("first").alias("_first")).distinct(), "firsts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = map_slices(rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi"), run, "id long, shingles binary")
+    sets = scratch.keep(sets, "sets")
+    pair = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("slot")) * F.col("parts") + F.greatest(o, F.col("slot")))
+    )
+    routed = found.select("id", *names, "root", F.explode(pair).alias("pair")).select("id", *names, F.xxhash64("root", "pair").alias("bucket")).join(sets, "id")
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for bucket in buckets(frames, "bucket"):
+            bucket = bucket.drop_duplicates("id").sort_values("id")  # rows of equal text read a set more than once
+            ids, x = bucket["id"].to_numpy(), np.ascontiguousarray(bucket[names].to_numpy().view(np.uint64))
+            root = link_sets([np.frombuffer(h, np.uint64) for h in bucket["shingles"]], x, radius, least)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            if len(linked):
+                yield pd.DataFrame({"a": ids[root[linked]], "b": ids[linked]})
+
+    return scratch.keep(map_slices(routed.repartition("bucket").sortWithinPartitions("bucket"), verify, "a long, b long"), "verified")
+
+
+def deduplicate(
+    docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], words: int = WIDE["words"], recall: float = WIDE["recall"], bits: int = WIDE["bits"],
+    least: float = SIMILARITY, block: int = BLOCK,
+) -> DataFrame:
+    """``docs`` without near copies: of each component the row of the smallest doc_id stays. Links are pairs whose sets of shingles
+    have Jaccard similarity ``least``, as computed; fingerprints only choose the pairs.
 
     Rows that share that doc_id stay together, and so do rows of null doc_id, which nothing can name.
     """
+    names = [f"w{k}" for k in range(words)]
     scratch = Scratch(docs.sparkSession, "dedup")
-    found = near_duplicates(docs, shingle, radius, words, lambda points: wide_keys(points, words, radius, recall, bits))
+    marks = scratch.keep(set_marks(docs, shingle, words), "marks")
+    points = scratch.keep(marks.groupBy("id", *names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
+    links = scratch.keep(_shard_links(points.select("id", *names), wide_keys(points.count(), words, radius, recall, bits), radius, words, 64), "shards")
+    found = _classes(marks, points, _verified(docs, points, links, shingle, radius, words, least, block, scratch), names, scratch)
     gone = scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
