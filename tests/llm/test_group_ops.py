@@ -185,6 +185,26 @@ def test_passages_are_removed(spark, passage_docs):
     assert "\n" not in by[None][0].text
 
 
+def test_runs_of_words_go_wherever_lines_break(spark):
+    own = lambda s, n: " ".join(f"o{s}_{i}" for i in range(n))
+    run = [f"r{i}" for i in range(54)]
+    short = [f"s{i}" for i in range(49)]
+    text = " ".join(run)
+    rows = [
+        (1, f"{own(1, 200)} {text} {own(2, 200)}\nlast"),  # inside a longer line
+        (2, f"{own(3, 15)} {' '.join(run[:11])}\n{' '.join(run[11:])} {own(4, 40)}"),  # across a line break
+        (3, "first\n" + "\n".join(" ".join(run[i : i + 9]) for i in range(0, 54, 9)) + "\nlast"),  # short lines
+        (4, f"{own(5, 100)} {' '.join(short)} {own(6, 100)}"), (5, f"{own(7, 100)} {' '.join(short)} {own(8, 100)}"),  # not long enough
+        (None, None), (6, f"{own(9, 60)}"), (6, f"{own(9, 60)}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {r.doc_id: r.text for r in passages.remove_passages(docs).collect()}
+    was = dict(rows)
+    assert by == was | {2: f"{own(3, 15)} {own(4, 40)}", 3: "first\nlast"}
+    found = {(r.doc_id, r.para, r.n_words, r.class_doc, r.class_para, r.removed) for r in passages.repeated_passages(docs).collect()}
+    assert {(2, 0, 54, 1, 0, True), (3, 1, 54, 1, 0, True)} == {x for x in found if x[0] != 6}
+
+
 # -- top-k
 
 

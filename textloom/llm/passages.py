@@ -1,4 +1,4 @@
-"""Substring dedup by paragraphs: MinHash banding, exact verification, components.
+"""Substring dedup: near copies of paragraphs (MinHash banding, exact verification, components), then verbatim runs of words.
 
 A paragraph is a line of a text with at least ``min_words`` words (runs of anything but white space, A-Z lowered);
 shorter lines are left alone. Equal paragraphs are one point from the start. Points whose MinHash signatures of
@@ -7,6 +7,12 @@ with probability 0.999. Colliding paragraphs are verified by exact Jaccard simil
 become components, and of each component the occurrence in the smallest (doc_id, paragraph) stays; the others
 are removals.
 
+What is left is searched for runs of at least 50 words that stand elsewhere word by word, wherever lines break. Of all grams
+of 26 words each window of 25 chooses the one of smallest hash, so two equal runs of 50 choose an equal gram. Of the places
+of a gram the smallest (doc_id, text hash, place) stays; at the others the match is compared word by word with it and extended
+over up to 24 words on either side, which is as far as a run goes without another chosen gram. Matches that overlap are one
+span, and spans of 50 words and more go. Where the places that stay differ from gram to gram, an end of fewer than 25 words may be left.
+
 Scale: first only (band, point) rows are shuffled; shingle sets follow for points that collide at all. A task reads its
 buckets in order. It verifies a bucket by growing components: a paragraph that is linked is not compared again with those
 already in its component, so thousands of near copies cost about one comparison each, and it gives one row a linked
@@ -22,6 +28,7 @@ names that start with an underscore and a word of this module.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +43,10 @@ MIN_WORDS, SHINGLE, SIMILARITY = 30, 5, 0.8
 BANDS, ROWS = 10, 3
 BLOCK = 4096
 _PRIME = np.uint64((1 << 61) - 1)
+#: A run of ``RUN`` words holds a chosen gram of ``GRAM`` words; ``SIDE`` words on either side are compared.
+RUN, GRAM = 50, 26
+SIDE = RUN - GRAM
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _coefficients(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +199,171 @@ def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     return out.select("doc_id", "text_hash", "para", "n_words", F.col("kept.doc_id").alias("class_doc"), F.col("kept.para").alias("class_para"), (~stays).alias("removed"))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def chosen_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that some window chooses, of a text's word hashes."""
+    n = len(words) - GRAM + 1
+    if len(words) < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    power = np.full(len(words), _ODD, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)  # modulo 2**64, as all that follows
+    back = np.full(n, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
+    back[0] = 1
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power, dtype=np.uint64)))
+    gram = (total[GRAM:] - total[:n]) * np.cumprod(back, dtype=np.uint64)
+    gram ^= gram >> np.uint64(29)
+    gram *= np.uint64(0xBF58476D1CE4E5B9)
+    gram ^= gram >> np.uint64(32)
+    found = []
+    for k in range(0, n - SIDE, 1 << 16):  # a window is SIDE + 1 grams
+        view = np.lib.stride_tricks.sliding_window_view(gram[k : k + (1 << 16) + SIDE], SIDE + 1)
+        found.append(np.unique(k + np.arange(len(view)) + view.argmin(1)))
+    at = np.unique(np.concatenate(found))
+    return at, gram[at]
+
+
+def _around(words: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
+    """32 bits of each of the words around places: ``SIDE`` before, the gram, ``SIDE`` after; beyond the text ``outside``."""
+    edge = np.full(SIDE, outside, np.uint32)
+    padded = np.concatenate((edge, (words >> np.uint64(33)).astype(np.uint32), edge))
+    return padded[at[:, None] + np.arange(2 * SIDE + GRAM)]
+
+
+def spans_of(words: np.ndarray, at: np.ndarray, around: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, match) of the spans of a text that repeat. ``at``: places of grams, in order; ``around``: the words around the
+    places that stay; ``match``: number of the span's longest match."""
+    same = _around(words, at, 0xFFFFFFFF) == around
+    whole = same[:, SIDE : SIDE + GRAM].all(1)
+    start = at - np.logical_and.accumulate(same[:, :SIDE][:, ::-1], 1).sum(1)
+    end = at + GRAM + np.logical_and.accumulate(same[:, SIDE + GRAM :], 1).sum(1)
+    out: list[list[int]] = []
+    for k in np.lexsort((end, start)).tolist():
+        if not whole[k]:
+            continue
+        a, b = int(start[k]), int(end[k])
+        if out and a < out[-1][1]:
+            last = out[-1]
+            last[1] = max(last[1], b)
+            if b - a > end[last[2]] - start[last[2]]:
+                last[2] = k
+        else:
+            out.append([a, b, k])
+    return [(a, b, k) for a, b, k in out if b - a >= RUN]
+
+
+def _lines(text: str) -> np.ndarray:
+    """The line of each word of a text."""
+    return np.repeat(np.arange(text.count("\n") + 1), [len(x.split()) for x in text.encode("utf-8", "surrogatepass").split(b"\n")])
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without spans of words; a line of which nothing is left goes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    ends = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out, at = [], 0
+    for start, end in sorted(spans):
+        a, b = ends[start][0], ends[end - 1][1]
+        while b < len(raw) and raw[b] != 10 and raw[b] in b" \t\x0b\x0c\r":
+            b += 1
+        if (a == 0 or raw[a - 1] == 10) and b < len(raw) and raw[b] == 10:
+            b += 1
+        out.append(raw[at:a])
+        at = b
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def runs(left: DataFrame, scratch: Scratch) -> DataFrame:
+    """The repeated spans of ``left`` (doc_id, text_hash, text, gone: the lines taken from the text before, or null): doc_id, text_hash,
+    para, n_words, class_doc, class_para, start, end. Lines are counted as before they were taken, words (start, end) as in ``text``."""
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), 64):
+                part = frame.iloc[k : k + 64]
+                made = [chosen_grams(word_hashes(t)) for t in part["text"]]
+                n = [len(at) for at, _ in made]
+                if sum(n):
+                    at, gram = (np.concatenate(z) for z in zip(*made, strict=True))
+                    yield pd.DataFrame({"gram": gram.view(np.int64), "doc_id": np.repeat(part["doc_id"].to_numpy(), n), "text_hash": np.repeat(part["text_hash"].to_numpy(), n), "at": at})
+
+    rows = left.where("text IS NOT NULL")
+    places = scratch.keep(map_slices(rows.select("doc_id", "text_hash", "text"), choose, "gram long, doc_id long, text_hash long, at int"), "grams")
+    place = F.struct("doc_id", "text_hash", "at")
+    firsts = places.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("gram", "first")
+    firsts = scratch.keep(firsts, "firsts")
+    kept = firsts.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "gram")).alias("places"))
+    kept = scratch.keep(kept, "kept")
+
+    def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, text, gone, some in zip(frame["doc_id"], frame["text"], frame["gone"], frame["places"], strict=True):
+                at = np.array([x["at"] for x in some], np.int64)
+                around, line = _around(word_hashes(text), at, 0xFFFFFFFE), _first_lines(text, gone)
+                yield pd.DataFrame({"gram": [x["gram"] for x in some], "class_doc": pd.array([doc_id] * len(at), "Int64"), "class_para": line[at], "around": [x.tobytes() for x in around]})
+
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    shown = map_slices(rows.join(kept, on).select("doc_id", "text", "gone", "places"), show, "gram long, class_doc long, class_para int, around binary", 64)
+    shown = scratch.keep(shown.dropDuplicates(["gram"]), "shown")  # equal rows show the same
+    others = places.join(firsts, "gram").where(~place.eqNullSafe(F.col("first"))).select("gram", "doc_id", "text_hash", "at").distinct().join(shown, "gram")
+    others = others.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("at", "class_doc", "class_para", "around"))).alias("places"))
+    others = scratch.keep(others, "others")
+
+    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for doc_id, text_hash, text, gone, some in zip(frame["doc_id"], frame["text_hash"], frame["text"], frame["gone"], frame["places"], strict=True):
+                around = np.frombuffer(b"".join(x["around"] for x in some), np.uint32).reshape(len(some), -1)
+                found = spans_of(word_hashes(text), np.array([x["at"] for x in some], np.int64), around)
+                line = _first_lines(text, gone) if found else None
+                made += [(doc_id, text_hash, line[a], b - a, some[k]["class_doc"], some[k]["class_para"], a, b) for a, b, k in found]
+            if made:
+                whole = pd.DataFrame(made, columns=["doc_id", "text_hash", "para", "n_words", "class_doc", "class_para", "start", "end"])
+                yield whole.astype({"doc_id": "Int64", "class_doc": "Int64"})
+
+    out = map_slices(rows.join(others, on).select("doc_id", "text_hash", "text", "gone", "places"), resolve, "doc_id long, text_hash long, para int, n_words long, class_doc long, class_para int, start int, end int", 64)
+    return scratch.keep(out.distinct(), "runs")
+
+
+def _first_lines(text: str, gone) -> np.ndarray:
+    """The line of each word, counted with the lines that are gone."""
+    line = _lines(text)
+    if gone is None or not len(gone):
+        return line
+    taken = set(int(x) for x in gone)
+    n = int(line[-1]) + 1 if len(line) else 0
+    first = [k for k in range(n + len(taken)) if k not in taken]
+    return np.array(first, np.int64)[line]
+
+
+def _without(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each row of ``docs`` with its text after the removal of paragraphs (_passages_left) and what was removed (_passages_gone)."""
+    gone = found.where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("para").alias("_passages_gone"))
+    gone = scratch.keep(gone.withColumnsRenamed({"doc_id": "_passages_doc", "text_hash": "_passages_hash"}), "gone")
+    text = F.col("text").cast("string")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc")) & (F.xxhash64(text) == F.col("_passages_hash"))
+    lines = F.split(text, "\n", -1)
+    left = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_passages_gone", p["i"])), lambda p: p["x"]), "\n")
+    return docs.join(gone, on, "left").withColumn("_passages_left", F.when(F.col("_passages_gone").isNotNull(), left).otherwise(text))
+
+
+def _runs_left(joined: DataFrame, scratch: Scratch) -> DataFrame:
+    text = F.col("text").cast("string")
+    left = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col("_passages_left").alias("text"), F.col("_passages_gone").alias("gone"))
+    return runs(scratch.keep(left, "left"), scratch)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """The paragraphs with copies, for the query."""
-    return classes(docs).select("doc_id", F.col("para").cast("long").alias("para"), "n_words", "class_doc", F.col("class_para").cast("long").alias("class_para"), "removed")
+    """The paragraphs with copies, and the runs that repeat in what is left, for the query. A run's ``para`` is the line in which it begins."""
+    scratch = Scratch(docs.sparkSession, "repeated")
+    found = scratch.keep(classes(docs), "classes")
+    spans = _runs_left(_without(docs.select("doc_id", "text"), found, scratch), scratch).withColumn("removed", F.lit(True))
+    columns = ["doc_id", F.col("para").cast("long").alias("para"), "n_words", "class_doc", F.col("class_para").cast("long").alias("class_para"), "removed"]
+    return found.select(*columns).union(spans.select(*columns))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
@@ -199,13 +372,18 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, where there is such a column, follows the new text.
     """
     scratch = Scratch(docs.sparkSession, "removal")
-    gone = classes(docs, **options).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("para").alias("_passages_gone"))
-    gone = scratch.keep(gone.withColumnsRenamed({"doc_id": "_passages_doc", "text_hash": "_passages_hash"}), "gone")
-    text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc")) & (F.xxhash64(text) == F.col("_passages_hash"))
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_passages_gone", p["i"])), lambda p: p["x"]), "\n")
-    joined = docs.join(gone, on, "left").withColumn("_passages_left", F.when(F.col("_passages_gone").isNotNull(), left).otherwise(text))
-    joined = joined.where(F.col("_passages_gone").isNull() | F.col("_passages_left").rlike(r"\S"))
-    kept = [F.col("_passages_left").alias(c) if c == "text" else F.when(F.col("_passages_gone").isNull(), F.col(c)).otherwise(F.char_length("_passages_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    joined = _without(docs, classes(docs, **options), scratch)
+    spans = _runs_left(joined, scratch).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("_passages_spans"))
+    spans = scratch.keep(spans.withColumnsRenamed({"doc_id": "_passages_doc2", "text_hash": "_passages_hash2"}), "spans")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc2")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_passages_hash2"))
+
+    @F.pandas_udf("string")
+    def cut_all(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if x is None else cut(t, [(y["start"], y["end"]) for y in x]) for t, x in zip(texts, found, strict=True)], dtype=object)
+
+    joined = joined.join(spans, on, "left")
+    joined = joined.withColumn("_passages_left", F.when(F.col("_passages_spans").isNull(), F.col("_passages_left")).otherwise(cut_all("_passages_left", "_passages_spans")))
+    same = F.col("_passages_gone").isNull() & F.col("_passages_spans").isNull()
+    joined = joined.where(same | F.col("_passages_left").rlike(r"\S"))
+    kept = [F.col("_passages_left").alias(c) if c == "text" else F.when(same, F.col(c)).otherwise(F.char_length("_passages_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*kept)
