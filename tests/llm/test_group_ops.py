@@ -268,6 +268,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_long_header_fields_are_read(spark):
+    url = "http://long/" + "x" * 100_000
+    for make in (warc.member, bytes):
+        data = b"".join(make(warc.record(i, url, b"page", None)) for i in range(3))
+        found = list(warc.salvage(io.BytesIO(data), len(data)))
+        assert [(reason, fields and fields["warc-target-uri"]) for _, _, reason, fields, _ in found] == [(None, url)] * 3
+    df = spark.createDataFrame([(1, url, "a"), (2, "http://short/", "b")], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(df).collect()) == [1, 2]
+
+
 def records_and_gaps(data):
     found = list(warc.salvage(io.BytesIO(data), len(data)))
     assert sum(n for _, n, r, *_ in found if r) + sum({o: n for o, n, r, *_ in found if not r}.values()) == len(data)

@@ -149,9 +149,11 @@ def _parse(read, size: int, at: int) -> tuple[dict[str, str], int, int]:
     head = read(at, _HEAD)
     if not _VERSION.match(head):
         raise Bad("version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("header")
+    while (end := head.find(b"\r\n\r\n")) < 0:
+        # a header may be long, but every whole line of it is a field
+        if at + len(head) >= size or any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Bad("header")
+        head = read(at, 2 * len(head))
     fields = {}
     for line in head[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
