@@ -244,6 +244,20 @@ def test_licence_scan_is_brute_force(spark, docs):
     assert len(license_scan.RULES) >= 200
 
 
+def test_common_licence_names_have_their_labels(spark):
+    cc = "Creative Commons Attribution"
+    want = {
+        f"{cc}-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa-4.0", f"{cc} Non-Commercial Share-Alike 4.0": "cc-by-nc-sa-4.0",
+        f"{cc}-NonCommercial-NoDerivatives 4.0": "cc-by-nc-nd-4.0", f"{cc}-NonCommercial-NoDerivs 4.0": "cc-by-nc-nd-4.0", f"{cc}-NonCommercial 4.0": "cc-by-nc-4.0",
+        f"{cc}-ShareAlike 4.0": "cc-by-sa-4.0", f"{cc}-NoDerivatives 4.0": "cc-by-nd-4.0", f"{cc}-ShareAlike 3.0 Unported": "cc-by-sa-3.0", f"{cc} 4.0": "cc-by-4.0",
+        "the OpenRAIL-M license": "openrail", "CreativeML Open RAIL-M License": "openrail", "OpenRAIL license": "openrail", "Tcl/Tk license": "tcl",
+        "No part of this publication may be reproduced": "proprietary",
+        "Linking this library statically or dynamically with other modules is making a combined work based on this library": "gpl-classpath",
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert [r.labels for r in license_scan.scan(df).orderBy("doc_id").collect()] == list(want.values())
+
+
 def test_licence_scan_is_native(spark, docs):
     plan = license_scan.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan

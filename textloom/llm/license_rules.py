@@ -75,7 +75,7 @@ gpl | 2 | gnu org | gnu org licenses gpl(?: html| txt| 2 0| 3 0)?
 gpl | 1 | gnu general public | (?:the )?gnu general public license
 gpl | 1 | gpl | (?:under )?(?:the )?gpl license
 gpl | 1 | gnu gpl | gnu gpl
-gpl-classpath | 3 | classpath | linking this library statically or dynamically with other modules is making a combined work based on this library
+gpl-classpath | 3 | linking this library | linking this library statically or dynamically with other modules is making a combined work based on this library
 gpl-classpath | 2 | classpath exception | (?:with )?(?:the )?classpath exception
 gpl-gcc-exception | 2 | runtime library exception | gcc runtime library exception(?: version 3 1)?
 lgpl-2.0 | 4 | spdx | spdx license identifier lgpl 2 0(?: only)?
@@ -198,7 +198,7 @@ openssl | 2 | openssl | (?:the )?openssl license
 openssl | 3 | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
 curl | 2 | curl license | (?:the )?curl license
 vim | 2 | vim license | (?:the )?vim license
-tcl | 2 | tcl license | (?:the )?tcl (?:tk )?license
+tcl | 2 | tcl | (?:the )?tcl (?:tk )?license
 postgresql | 4 | spdx | spdx license identifier postgresql
 postgresql | 2 | postgresql | (?:the )?postgresql licen[cs]e
 ntp | 3 | permission to use copy modify | permission to use copy modify and distribute this software and its documentation for any purpose
@@ -246,13 +246,13 @@ cc-by-nd | 1 | cc by nd | cc by nd
 cc-by-nc-sa | 1 | cc by nc sa | cc by nc sa
 cc-by-nc-nd | 1 | cc by nc nd | cc by nc nd
 cc-by-nc | 1 | cc by nc | cc by nc
-cc-by-nc-sa-4.0 | 2 | creative commons | creative commons attribution non ?commercial share ?alike 4 0(?: international)?(?: license)?
-cc-by-nc-nd-4.0 | 2 | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0(?: international)?(?: license)?
-cc-by-nc-4.0 | 2 | creative commons | creative commons attribution non ?commercial 4 0(?: international)?(?: license)?
-cc-by-sa-4.0 | 2 | creative commons | creative commons attribution share ?alike 4 0(?: international)?(?: license)?
-cc-by-nd-4.0 | 2 | creative commons | creative commons attribution no ?deriv(?:ative)?s 4 0(?: international)?(?: license)?
+cc-by-nc-sa-4.0 | 2 | creative commons | creative commons attribution non(?: )?commercial share(?: )?alike 4 0(?: international)?(?: license)?
+cc-by-nc-nd-4.0 | 2 | creative commons | creative commons attribution non(?: )?commercial no(?: )?deriv(?:ative)?s 4 0(?: international)?(?: license)?
+cc-by-nc-4.0 | 2 | creative commons | creative commons attribution non(?: )?commercial 4 0(?: international)?(?: license)?
+cc-by-sa-4.0 | 2 | creative commons | creative commons attribution share(?: )?alike 4 0(?: international)?(?: license)?
+cc-by-nd-4.0 | 2 | creative commons | creative commons attribution no(?: )?deriv(?:ative)?s 4 0(?: international)?(?: license)?
 cc-by-4.0 | 2 | creative commons | creative commons attribution 4 0(?: international)?(?: license)?
-cc-by-sa-3.0 | 2 | creative commons | creative commons attribution share ?alike 3 0(?: unported)?(?: license)?
+cc-by-sa-3.0 | 2 | creative commons | creative commons attribution share(?: )?alike 3 0(?: unported)?(?: license)?
 cc-by-3.0 | 2 | creative commons | creative commons attribution 3 0(?: unported)?(?: license)?
 cc-by | 1 | creativecommons org | creativecommons org licenses by(?: [1-4] 0)?
 cc-by-sa | 1 | creativecommons org | creativecommons org licenses by sa(?: [1-4] 0)?
@@ -268,13 +268,13 @@ ogl-uk-3.0 | 2 | open government | open government licence (?:version |v )?v?3 0
 ogl-uk | 1 | open government | open government licence
 dl-de-by-2.0 | 2 | datenlizenz | datenlizenz deutschland namensnennung (?:version )?2 0
 etalab-2.0 | 2 | etalab | (?:licence ouverte )?etalab 2 0
-openrail | 2 | rail license | (?:creativeml )?open ?rail m? ?license
+openrail | 2 | rail | (?:creativeml )?open(?: )?rail(?:(?: )?m)? license
 public-domain | 2 | public domain | (?:is |are |was )?(?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain
 public-domain | 1 | public domain | (?:is |are )in the public domain
 proprietary | 2 | all rights reserved | copyright (?:c )?(?:[12][0-9]{3} )?(?:by )?(?:[^ ]+ ){0,4}all rights reserved
 proprietary | 1 | all rights reserved | all rights reserved
 proprietary | 2 | proprietary | (?:confidential and proprietary|proprietary and confidential)
-proprietary | 2 | permission | no part of this (?:publication|work|document) may be reproduced
+proprietary | 2 | no part of this | no part of this (?:publication|work|document) may be reproduced
 warranty-disclaimer | 1 | warranty | (?:provided )?as is without warranty of any kind
 """.strip().splitlines()
 )
