@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.llm.words import by_bytes
+
 #: Rows of a batch that are Python objects at a time; the batch itself stays Arrow memory.
 SLICE = 1024
 
@@ -78,14 +80,15 @@ def lean() -> None:
         return
 
 
-def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE) -> DataFrame:
-    """As ``mapInPandas``, but ``run`` gets slices of at most ``rows`` rows. Whole numbers with nulls stay whole."""
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE, text: str | None = None) -> DataFrame:
+    """As ``mapInPandas``, but ``run`` gets slices of at most ``rows`` rows, or by the bytes of the column ``text``. Whole numbers with
+    nulls stay whole."""
     kind = T.StructType.fromDDL(schema)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                yield batch.slice(k, rows).to_pandas(integer_object_nulls=True)
+        parts = by_bytes(batches, text) if text else (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        for part in parts:
+            yield part.to_pandas(integer_object_nulls=True)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()

@@ -4,7 +4,7 @@
 connects the neighbours of a node to the smallest of them, and a few steps turn each component into a
 star around its smallest node. Steps are aggregations and joins; the smallest neighbours are aggregated
 before they are joined back, and both sides of each join are written tables, so AQE can split a node
-that holds a third of all links. Nothing is collected but two numbers a step.
+that holds a third of all links. Nothing is collected but one number a round.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from textloom.llm.common import Scratch
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b): root is the smallest node of its component."""
 
+    def both(edges: DataFrame) -> DataFrame:
+        return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
     def step(edges: DataFrame, large: bool) -> DataFrame:
         """``edges``: (u, v) with u > v."""
-        flat = edges
-        if large:
-            flat = scratch.keep(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        flat = both(edges) if large else edges
         least = scratch.keep(flat.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         joined = flat.join(least, "u")
         if large:
@@ -34,23 +35,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             made = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         out = scratch.keep(made.where("u <> v").distinct(), "links")
         scratch.drop(least)
-        scratch.drop(flat)
-        if large:
-            scratch.drop(edges)
+        scratch.drop(edges)
         return out
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).head())
+    def open_(edges: DataFrame) -> bool:
+        """Whether some component is not yet a star around its smallest node."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return bool(seen.where("up > 1 OR up = 1 AND down = 1").limit(1).count())
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.keep(edges, "links")
-    before = state(edges)
-    while before[0]:
+    while open_(edges):
         edges = step(step(edges, True), False)
-        now = state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

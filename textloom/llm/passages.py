@@ -1,90 +1,267 @@
 """Substring dedup: near copies of paragraphs (MinHash banding, exact verification, components), then verbatim runs of words.
 
-A paragraph is a line of a text with at least ``min_words`` words (runs of anything but white space, A-Z lowered);
-shorter lines are left alone. Equal paragraphs are one point from the start. Points whose MinHash signatures of
-five-word shingles agree in a whole band collide; with ten bands of three a pair of Jaccard similarity 0.8 collides
-with probability 0.999. Colliding paragraphs are verified by exact Jaccard similarity of their shingle sets, links
-become components, and of each component the occurrence in the smallest (doc_id, paragraph) stays; the others
-are removals.
-
-What is left is searched for runs of at least 50 words that stand elsewhere word by word, wherever lines break. Of all grams
-of 26 words each window of 25 chooses the one of smallest hash, so two equal runs of 50 choose an equal gram. Of the places
-of a gram the smallest (doc_id, text hash, place) stays; at the others the match is compared word by word with it and extended
-over up to 24 words on either side, which is as far as a run goes without another chosen gram. Matches that overlap are one
-span, and spans of 50 words and more go. Where the places that stay differ from gram to gram, an end of fewer than 25 words may be left.
-
-Scale: first only (band, point) rows are shuffled; shingle sets follow for points that collide at all. A task reads its
-buckets in order. It verifies a bucket by growing components: a paragraph that is linked is not compared again with those
-already in its component, so thousands of near copies cost about one comparison each, and it gives one row a linked
-point. Buckets of more than ``block`` points are dealt out as pairs of blocks to many tasks, so that no pair is left
-out and no task holds more than two blocks. The occurrences are joined to the classes on written tables, so a
-passage that a third of all documents share can be split by AQE.
-
-Cases: a null or empty text has no paragraphs. Paragraphs are counted from 0 over all lines. Rows of equal doc_id and
-text are one document here. A null doc_id sorts first, so its occurrence stays. A text with a single very long
-line is one paragraph, read whole. Other columns are kept by ``remove_passages`` and not read otherwise; working columns have
-names that start with an underscore and a word of this module.
+Words are runs of anything but white space, A-Z lowered. A paragraph is a line of at least ``min_words`` words; shorter lines that
+follow each other are laid together, up to a line whose hash says so, so that equal lines make equal paragraphs whatever
+stands around them. Equal paragraphs are one point from the start. Points whose MinHash signatures of five-word shingles
+agree in a whole band collide; with ten bands of three a pair of Jaccard similarity 0.8 collides with probability 0.999.
+Colliding points are verified by exact Jaccard similarity of their shingle sets, links become components, and of each
+component the occurrence in the smallest (doc_id, place) stays; the others are removals.
+
+In what is left (no word of a removed paragraph) each window of 50 words that stands at a smaller place too is removed, word by
+word and wherever lines break: of a run of 50 words and more one occurrence stays. Of all grams of 13 words each window chooses
+the one of smallest hash. Only windows whose chosen gram repeats are compared at all, by 128 bits of hash.
+
+Scale: one pass reads the texts; what leaves it are ids, band keys and chosen grams (about one row in 20 words). Bands are
+aggregated to the least id of each key, and a colliding point first meets that one only: candidate pairs are made
+distinct before any shingle set is fetched. A bucket whose points are then in one component is done, however large it is. The
+others are dealt out in blocks: members of the bucket's largest component go to one block each, the rest to all. No
+step gathers a bucket before it is dealt, and all joins are between written tables or aggregates, which AQE can split.
+
+Cases: a null text has no paragraphs, nor has one of white space. Repeated rows are equal occurrences: of two rows of one doc_id with
+equal texts neither is removed for the other's sake. Null doc_ids come first. A very long line is one paragraph, a very long
+text is read whole. An empty table gives an empty result. Other columns are kept by ``remove_passages`` and not read otherwise;
+working columns of it begin with ``_passages_``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from textloom.llm.common import Scratch, map_slices
-from textloom.llm.components import Union, buckets, components
+from textloom.llm.common import Scratch, lean, map_slices
+from textloom.llm.components import components, whole_runs
+from textloom.llm.words import Words, binaries, by_bytes, mix, range_hashes, shingles
 
 MIN_WORDS, SHINGLE, SIMILARITY = 30, 5, 0.8
 BANDS, ROWS = 10, 3
 BLOCK = 4096
-_PRIME = np.uint64((1 << 61) - 1)
-#: A run of ``RUN`` words holds a chosen gram of ``GRAM`` words; ``SIDE`` words on either side are compared.
-RUN, GRAM = 50, 26
-SIDE = RUN - GRAM
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _coefficients(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(seed)
-    return (random.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)), random.integers(0, 1 << 63, n, dtype=np.uint64)
-
-
-def shingle_hashes(paragraph: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a normalized paragraph."""
-    words = paragraph.encode("utf-8", "surrogatepass").split()
-    n = min(size, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64))
-
-
-def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(sets, bands): a 64-bit hash of each band of the MinHash signature."""
-    a, b = _coefficients(bands * rows)
-    flat = np.concatenate(sets)
-    start = np.cumsum([0, *map(len, sets)])[:-1]
-    least = np.empty((len(sets), bands * rows), np.uint64)
-    for k in range(bands * rows):
-        x = flat * a[k] + b[k]  # modulo 2**64
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        least[:, k] = np.minimum.reduceat(x, start)
-    band = least.reshape(len(sets), bands, rows)
-    out = np.full((len(sets), bands), 0x9E3779B97F4A7C15, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
+#: Each window of ``RUN`` words chooses a gram of ``GRAM`` words.
+RUN, GRAM = 50, 13
+#: One short line in so many ends a paragraph of short lines.
+_ENDS = 4
+
+
+def _factors(n: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def signatures(flat: np.ndarray, start: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(sets, bands): a 64-bit hash of each band of the MinHash signature of the sets that begin at ``start`` in ``flat``."""
+    short = (flat >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((len(start), bands * rows), np.uint64)
+    for k, factor in enumerate(_factors(bands * rows)):
+        least[:, k] = np.minimum.reduceat(short * factor, start)
+    out = np.full((len(start), bands), 0x9E3779B97F4A7C15, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows):
-        out = (out ^ band[:, :, k]) * np.uint64(0xFF51AFD7ED558CCD)
-        out ^= out >> np.uint64(33)
+        out = mix(out ^ least[:, k::rows])
     return out
 
 
+def paragraph_words(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the paragraphs of some texts start and end, in words."""
+    n = len(w.hash)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.concatenate(([0], np.flatnonzero(np.diff(w.line)) + 1))
+    end = np.append(start[1:], n)
+    long = end - start >= least
+    last = range_hashes(w.hash, start, end) % np.uint64(_ENDS) == 0
+    new = np.ones(len(start), bool)
+    new[1:] = (np.diff(w.text[start]) > 0) | long[1:] | long[:-1] | last[:-1]
+    start = start[new]
+    end = np.append(start[1:], n)
+    keep = end - start >= least
+    return start[keep], end[keep]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    at = np.cumsum(size) - size
+    return np.repeat(start - at, size) + np.arange(int(size.sum()))
+
+
+def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a run of word hashes."""
+    return np.unique(shingles(hashes, min(size, len(hashes))))
+
+
+def window_choices(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, chosen, gram): where the windows of ``RUN`` words start that lie in one text, where the gram that each chooses starts,
+    and the hashes of all grams."""
+    n, width = len(w.hash), RUN - GRAM + 1
+    if n < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    gram = range_hashes(w.hash, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    value, at, have = gram, np.arange(len(gram)), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = value[:-step], value[step:]
+        at = np.where(left <= right, at[:-step], at[step:])
+        value, have = np.minimum(left, right), have + step
+    fits = w.text[: len(at)] == w.text[RUN - 1 : RUN - 1 + len(at)]
+    windows = np.flatnonzero(fits)
+    return windows, at[windows], gram
+
+
+def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _digests(w: Words, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(w.hash[a:b].tobytes()) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+UNITS = (
+    "doc_id long, text_hash long, doc long, id array<binary>, short array<long>, line array<int>, start array<int>, words array<int>, band array<array<long>>, gram array<long>, at array<int>"
+)
+
+
+def _doc_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, doc, text): ``doc`` names a document in joins, where a collision only makes more candidates."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "text")
+
+
+def units(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
+    """What the first pass gives of each document: its paragraphs and its chosen grams."""
+    if min_words < SHINGLE:
+        raise ValueError(f"a paragraph has at least {SHINGLE} words")
+    kind = T.StructType.fromDDL(UNITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        arrow = to_arrow_schema(kind)
+        for batch in by_bytes(batches):
+            w = Words(binaries(batch.column("text")))
+            start, end = paragraph_words(w, min_words)
+            count = end - start - SHINGLE + 1
+            flat = shingles(w.hash, SHINGLE)[_ranges(start, count)]
+            made = signatures(flat, np.cumsum(count) - count, bands, rows) if len(start) else np.empty((0, bands), np.uint64)
+            ids = _digests(w, start, end)
+            text = w.text[start]
+            _, chosen, gram = window_choices(w)
+            chosen = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
+            n = batch.num_rows
+            of_para, of_gram = np.searchsorted(text, np.arange(n + 1)), np.searchsorted(w.text[chosen], np.arange(n + 1))
+            first = w.first[:-1]
+            columns = [
+                _lists(pa.array(ids, pa.binary()), of_para),
+                _lists(pa.array(np.frombuffer(b"".join(ids), "<i8")[::2], pa.int64()), of_para),
+                _lists(pa.array(w.line[start] - w.first_line[text], pa.int32()), of_para),
+                _lists(pa.array(start - first[text], pa.int32()), of_para),
+                _lists(pa.array(end - start, pa.int32()), of_para),
+                _lists(_lists(pa.array(made.view(np.int64).ravel(), pa.int64()), np.arange(len(ids) + 1) * bands), of_para),
+                _lists(pa.array(gram[chosen].view(np.int64), pa.int64()), of_gram),
+                _lists(pa.array(chosen - first[w.text[chosen]], pa.int32()), of_gram),
+            ]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), batch.column("doc"), *columns]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return _doc_rows(docs).mapInArrow(run, kind)
+
+
+def link(sets: list[np.ndarray], label: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join the labels of all sets whose Jaccard similarity is at least ``least``; pairs of one label are not compared."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    here, label, found = np.zeros(int(code.max()) + 1, bool), label.copy(), []
+    for i in range(len(sets) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
+        if not len(rest):
+            continue
+        own = code[start[i] : start[i] + size[i]]
+        here[own] = True
+        both = np.add.reduceat(here[code[_ranges(start[rest], size[rest])]], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+        here[own] = False
+        near = rest[both >= least * (size[rest] + size[i] - both)]
+        found += [(i, int(j)) for j in near]
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
+    return found
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(short, id, shingles) of the paragraphs that ``wanted`` (doc, places: array of (start, words, id)) names."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            w = Words(list(frame["text"]))
+            ids, sets = [], []
+            for first, end, places in zip(w.first[:-1].tolist(), w.first[1:].tolist(), frame["places"], strict=True):
+                for p in places:
+                    a = first + p["start"]
+                    own = w.hash[a : a + p["words"]]
+                    if a + p["words"] <= end and xxhash.xxh3_128_digest(own.tobytes()) == p["id"]:
+                        ids.append(p["id"])
+                        sets.append(shingle_set(own).tobytes())
+            yield pd.DataFrame({"short": np.frombuffer(b"".join(ids), "<i8")[::2], "id": ids, "shingles": sets})
+
+    joined = _doc_rows(docs).join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), "places")
+    return map_slices(joined, run, "short long, id binary, shingles binary", text="text")
+
+
+def _links(docs: DataFrame, unit: DataFrame, points: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links of similar paragraphs (ids) that span the components of similarity."""
+    keys = unit.select(F.explode(F.arrays_zip("short", "band")).alias("p")).select("p.short", F.explode("p.band").alias("key"))
+    least = keys.groupBy("key").agg(F.min("short").alias("centre"), F.max("short").alias("top")).where("centre <> top").select("key", "centre")
+    least = scratch.keep(least, "least")
+    hits = scratch.keep(keys.join(least, "key").select("key", "short", "centre").distinct(), "hits")
+    pairs = scratch.keep(hits.where("short <> centre").select("short", "centre").distinct(), "pairs")
+    some = pairs.select("short").union(pairs.select("centre")).distinct()
+    wanted = points.join(some, "short", "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.words", "id")).alias("places"))
+    sets = scratch.keep(_fetched(docs, scratch.keep(wanted, "wanted")).dropDuplicates(["id"]), "sets")
+    met = pairs.join(sets, "short").withColumnsRenamed({"id": "a", "shingles": "x", "short": "_short"})
+    met = met.join(sets.withColumnsRenamed({"id": "b", "shingles": "y", "short": "centre"}), "centre").select("a", "b", "x", "y")
+
+    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(frame["x"], frame["y"], strict=True)]
+            yield frame.loc[np.array(good, bool), ["a", "b"]]
+
+    links = scratch.keep(map_slices(met, verify, "a binary, b binary"), "links")
+    # buckets in which more than one component is left
+    label = components(links, scratch)
+    label = sets.select("short", "id").join(label.withColumnsRenamed({"node": "id"}), "id", "left").select("short", "id", F.coalesce("root", "id").alias("label"))
+    label = scratch.keep(label, "label")
+    members = scratch.keep(hits.select("key", "short").join(label, "short"), "members")
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    parts = parts.select("key", F.col("most.label").alias("most"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most.n")).alias("others"))
+    open_ = members.join(scratch.keep(parts, "parts"), "key")
+    slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # the rest of a bucket goes to all blocks of its largest component, and meets itself in pairs of blocks
+    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(-1).alias("x"), k.alias("y")))
+    own = slot(F.col("others"))
+    among = F.when(F.col("others") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"))))
+    empty = F.expr("CAST(array() AS array<struct<x: int, y: int>>)")
+    place = F.when(F.col("label") == F.col("most"), F.array(F.struct(F.lit(-1).alias("x"), slot(F.col("blocks")).alias("y")))).otherwise(F.concat(all_, F.coalesce(among, empty)))
+    dealt = open_.select("id", "label", "key", F.explode(place).alias("p")).select("id", "label", F.xxhash64("key", "p.x", "p.y").alias("bucket"))
+    dealt = dealt.join(sets.select("id", "shingles"), "id")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_runs(frames, "bucket"):
+            for _, bucket in frame.groupby("bucket", sort=False):
+                bucket = bucket.drop_duplicates("id").sort_values("id")
+                if len(bucket) > 1:
+                    found = link([np.frombuffer(x, np.uint64) for x in bucket["shingles"]], pd.factorize(bucket["label"])[0], similarity)
+                    if found:
+                        ids, at = bucket["id"].to_numpy(), np.array(found)
+                        yield pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
+
+    more = map_slices(dealt.repartition("bucket").sortWithinPartitions("bucket"), compare, "a binary, b binary")
+    return label.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).union(scratch.keep(more, "more"))
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``least``."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
@@ -93,275 +270,118 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def link(sets: list[np.ndarray], least: float, group: np.ndarray | None = None) -> np.ndarray:
-    """For each set the smallest number of a set in its component. With ``group`` only pairs of different groups, and
-    pairs within, are all compared as well: nothing is skipped but what is already in one component."""
-    union, parts = Union(len(sets)), []
-    for i in range(len(sets)):
-        joined = []
-        for p, part in enumerate(parts):
-            if any(similar(sets[i], sets[j], least) for j in part):
-                joined.append(p)
-        if joined:
-            home = parts[joined[0]]
-            for p in reversed(joined[1:]):
-                union.join(home[0], parts[p][0])
-                home.extend(parts.pop(p))
-            union.join(home[0], i)
-            home.append(i)
-            if len(home) > 1 and len(home) % 2:
-                home[0], home[-1] = home[-1], home[0]  # a recent member is often the nearest
-        else:
-            parts.append([i])
-    return np.array([union.find(i) for i in range(len(sets))])
-
-
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, para, n_words, norm) of ``docs`` (doc_id, text)."""
-    line = F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("para", "line")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), line)
-    norm = F.trim(F.regexp_replace(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    rows = rows.where(F.char_length("line") >= 2 * min_words - 1).select("doc_id", "text_hash", "para", norm.alias("norm"))
-    words = F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    return rows.select("doc_id", "text_hash", "para", words.cast("long").alias("n_words"), "norm").where(F.col("n_words") >= min_words)
-
-
-def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row for each paragraph that has a copy or near copy elsewhere: doc_id, text_hash, para, n_words, class_doc,
+def _classes(docs: DataFrame, unit: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
+    """One row for each paragraph that has a copy or near copy elsewhere: doc_id, text_hash, doc, para, start, n_words, class_doc,
     class_para (the occurrence that stays), removed."""
-    scratch = Scratch(docs.sparkSession, "passages")
-    every = paragraphs(docs, min_words).withColumn("id", F.unhex(F.md5("norm")))
-    places = scratch.keep(every.drop("norm"), "places")
-    first = F.min(F.struct("doc_id", "para", "text_hash")).alias("first")
-    points = scratch.keep(places.groupBy("id").agg(first, F.count("*").alias("n")), "points")
-
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            bits = signatures([shingle_hashes(t) for t in frame["norm"]], bands, rows).view(np.int64)
-            yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), bands), "key": bits.ravel()})
-
-    # the text of a paragraph is taken where its first occurrence stands, so copies are hashed once and no text is shuffled
-    once = every.join(points.select(F.col("id").alias("_point"), "first"), (F.col("id") == F.col("_point")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("para") == F.col("first.para")) & (F.col("text_hash") == F.col("first.text_hash")))
-    once = scratch.keep(once.select("id", "norm"), "once")
-    keys = map_slices(once, sign, "id binary, key long")
-
-    def collide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, size = [], 0
-        for bucket in buckets(frames, "key"):
-            n = len(bucket)
-            parts = -(-n // block)
-            made.append(bucket.assign(slot=np.arange(n) % parts if parts > 1 else 0, parts=parts))
-            size += n
-            if size > 65536:
-                yield pd.concat(made)
-                made, size = [], 0
-        if size:
-            yield pd.concat(made)
-
-    hits = scratch.keep(map_slices(keys.repartition("key").sortWithinPartitions("key"), collide, "id binary, key long, slot int, parts int", 1 << 14), "hits")
-
-    def shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "shingles": [shingle_hashes(t).tobytes() for t in frame["norm"]]})
-
-    some = map_slices(once.join(hits.select("id").distinct(), "id", "left_semi"), shingle, "id binary, shingles binary")
-    some = scratch.keep(some, "shingles")
-    # a bucket of several blocks goes out once for each pair of blocks
-    pair = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("slot")) * F.col("parts") + F.greatest(o, F.col("slot")))
-    )
-    routed = hits.select("id", "key", F.explode(pair).alias("pair")).select("id", F.xxhash64("key", "pair").alias("bucket")).join(some, "id")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = [], []
-        for bucket in buckets(frames, "bucket"):
-            order = np.argsort(bucket["id"].to_numpy(), kind="stable")
-            ids = bucket["id"].to_numpy()[order]
-            sets = [np.frombuffer(x, np.uint64) for x in bucket["shingles"].to_numpy()[order]]
-            root = link(sets, similarity)
-            for k in np.flatnonzero(root != np.arange(len(root))).tolist():
-                a.append(ids[root[k]])
-                b.append(ids[k])
-            if len(a) > 65536:
-                yield pd.DataFrame({"a": a, "b": b})
-                a, b = [], []
-        if a:
-            yield pd.DataFrame({"a": a, "b": b})
-
-    links = scratch.keep(map_slices(routed.repartition("bucket").sortWithinPartitions("bucket"), verify, "a binary, b binary"), "verified")
-    joined = components(links, scratch)
+    places = unit.select("doc_id", "text_hash", "doc", F.explode(F.arrays_zip("id", "short", "line", "start", "words")).alias("p")).select("doc_id", "text_hash", "doc", "p.*")
+    first = F.min(F.struct("doc_id", "start", "text_hash", "doc", "line", "words")).alias("first")
+    points = scratch.keep(places.groupBy("id", "short").agg(first, F.count("*").alias("n")), "points")
+    joined = components(_links(docs, unit, points, similarity, block, scratch), scratch)
     named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
     groups = scratch.keep(named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1"), "groups")
     of_point = scratch.keep(named.select("id", "root").join(groups, "root").select("id", "kept"), "of_point")
-    out = places.join(of_point, "id")
-    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("para") == F.col("kept.para")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    return out.select("doc_id", "text_hash", "para", "n_words", F.col("kept.doc_id").alias("class_doc"), F.col("kept.para").alias("class_para"), (~stays).alias("removed"))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def chosen_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that some window chooses, of a text's word hashes."""
-    n = len(words) - GRAM + 1
-    if len(words) < RUN:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    power = np.full(len(words), _ODD, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)  # modulo 2**64, as all that follows
-    back = np.full(n, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
-    back[0] = 1
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power, dtype=np.uint64)))
-    gram = (total[GRAM:] - total[:n]) * np.cumprod(back, dtype=np.uint64)
-    gram ^= gram >> np.uint64(29)
-    gram *= np.uint64(0xBF58476D1CE4E5B9)
-    gram ^= gram >> np.uint64(32)
-    found = []
-    for k in range(0, n - SIDE, 1 << 16):  # a window is SIDE + 1 grams
-        view = np.lib.stride_tricks.sliding_window_view(gram[k : k + (1 << 16) + SIDE], SIDE + 1)
-        found.append(np.unique(k + np.arange(len(view)) + view.argmin(1)))
-    at = np.unique(np.concatenate(found))
-    return at, gram[at]
-
-
-def _around(words: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
-    """32 bits of each of the words around places: ``SIDE`` before, the gram, ``SIDE`` after; beyond the text ``outside``."""
-    edge = np.full(SIDE, outside, np.uint32)
-    padded = np.concatenate((edge, (words >> np.uint64(33)).astype(np.uint32), edge))
-    return padded[at[:, None] + np.arange(2 * SIDE + GRAM)]
-
-
-def spans_of(words: np.ndarray, at: np.ndarray, around: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, match) of the spans of a text that repeat. ``at``: places of grams, in order; ``around``: the words around the
-    places that stay; ``match``: number of the span's longest match."""
-    same = _around(words, at, 0xFFFFFFFF) == around
-    whole = same[:, SIDE : SIDE + GRAM].all(1)
-    start = at - np.logical_and.accumulate(same[:, :SIDE][:, ::-1], 1).sum(1)
-    end = at + GRAM + np.logical_and.accumulate(same[:, SIDE + GRAM :], 1).sum(1)
-    out: list[list[int]] = []
-    for k in np.lexsort((end, start)).tolist():
-        if not whole[k]:
-            continue
-        a, b = int(start[k]), int(end[k])
-        if out and a < out[-1][1]:
-            last = out[-1]
-            last[1] = max(last[1], b)
-            if b - a > end[last[2]] - start[last[2]]:
-                last[2] = k
-        else:
-            out.append([a, b, k])
-    return [(a, b, k) for a, b, k in out if b - a >= RUN]
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    return places.join(of_point, "id").select(
+        "doc_id", "text_hash", "doc", F.col("line").alias("para"), "start", F.col("words").cast("long").alias("n_words"),
+        F.col("kept.doc_id").alias("class_doc"), F.col("kept.line").alias("class_para"), (~stays).alias("removed"),
+    )
+
+
+def merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last numbers of the ranges (in order of ``at``) that overlapping ranges make."""
+    stop = np.maximum.accumulate(at + size)
+    new = np.flatnonzero(np.concatenate(([True], at[1:] > stop[:-1])))
+    return new, np.append(new[1:], len(at)) - 1
 
 
-def _lines(text: str) -> np.ndarray:
-    """The line of each word of a text."""
-    return np.repeat(np.arange(text.count("\n") + 1), [len(x.split()) for x in text.encode("utf-8", "surrogatepass").split(b"\n")])
+def _runs(docs: DataFrame, unit: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The repeated spans of what is left: doc_id, text_hash, para, n_words, class_doc, class_para, start, removed."""
+    grams = unit.select("doc", F.explode(F.arrays_zip("gram", "at")).alias("g")).select("doc", "g.gram", "g.at")
+    often = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
+    some = grams.join(often, "gram").groupBy("doc").agg(F.collect_set("at").alias("at"))
+    gone = found.where("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "n_words")).alias("gone"))
+    some = scratch.keep(some.join(gone, "doc", "left"), "repeat")
+
+    def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            w = Words(list(frame["text"]))
+            windows, chosen, _ = window_choices(w)
+            often, free = np.zeros(len(w.hash) + 1, bool), np.ones(len(w.hash) + 1, bool)
+            for first, end, at, taken in zip(w.first[:-1].tolist(), w.first[1:].tolist(), frame["at"], frame["gone"], strict=True):
+                at = first + np.asarray(at, np.int64)
+                often[at[at < end]] = True
+                for g in taken if taken is not None else ():
+                    free[first + g["start"] : first + g["start"] + g["n_words"]] = False
+            whole = np.concatenate(([0], np.cumsum(~free)))
+            windows = windows[often[chosen] & (whole[windows] == whole[windows + RUN])]
+            text = w.text[windows]
+            parts = np.searchsorted(text, np.arange(len(frame) + 1))
+            # two hashes of each window: as it stands, and of other values of its words
+            two = [range_hashes(x, windows, windows + RUN).view(np.int64) for x in (w.hash, mix(w.hash))]
+            at, line = windows - w.first[text], w.line[windows] - w.first_line[text]
+            cut = lambda x: [x[a:b] for a, b in zip(parts[:-1], parts[1:], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "h": cut(two[0]), "i": cut(two[1]), "at": cut(at), "line": cut(line)})
+
+    rows = _doc_rows(docs).join(some, "doc").select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"), "at", "gone")
+    shown = map_slices(rows, show, "doc_id long, text_hash long, h array<long>, i array<long>, at array<int>, line array<int>", text="text")
+    shown = scratch.keep(shown.where(F.size("at") > 0), "windows")
+    windows = shown.select("doc_id", "text_hash", F.explode(F.arrays_zip("h", "i", "at", "line")).alias("w")).select("doc_id", "text_hash", "w.*")
+    place = F.struct("doc_id", "text_hash", "at", "line")
+    firsts = windows.groupBy("h", "i").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "i", "first")
+    both = scratch.keep(windows.join(scratch.keep(firsts, "firsts"), ["h", "i"]), "both")
+    later = both.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at", "line", F.col("first.doc_id").alias("class_doc"), F.col("first.line").alias("class_para"), F.lit(True).alias("removed"))
+    kept = both.select("first.*").distinct().select("doc_id", "text_hash", "at", "line", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_para"), F.lit(False).alias("removed"))
+    spans = later.union(kept).groupBy("doc_id", "text_hash", "removed").agg(F.array_sort(F.collect_set(F.struct("at", "line", "class_doc", "class_para"))).alias("places"))
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for doc_id, text_hash, removed, places in zip(frame["doc_id"], frame["text_hash"], frame["removed"], frame["places"], strict=True):
+                at = np.fromiter((p["at"] for p in places), np.int64, len(places))
+                for a, b in zip(*merged(at, np.full(len(at), RUN)), strict=True):
+                    p = places[a]
+                    made.append((doc_id, text_hash, p["line"], at[b] + RUN - at[a], p["class_doc"], p["class_para"], at[a], removed))
+            yield pd.DataFrame(made, columns=["doc_id", "text_hash", "para", "n_words", "class_doc", "class_para", "start", "removed"]).astype({"doc_id": "Int64", "class_doc": "Int64"})
+
+    return scratch.keep(map_slices(spans, join, "doc_id long, text_hash long, para int, n_words long, class_doc long, class_para int, start int, removed boolean", 256), "runs")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without spans of words; a line of which nothing is left goes."""
     raw = text.encode("utf-8", "surrogatepass")
-    ends = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    w = Words([raw])
     out, at = [], 0
-    for start, end in sorted(spans):
-        a, b = ends[start][0], ends[end - 1][1]
+    start, size = np.array(sorted((a, b - a) for a, b in spans), np.int64).T
+    for x, y in zip(*merged(start, size), strict=True):
+        last = int((start[x : y + 1] + size[x : y + 1]).max())
+        a, b = int(w.start[start[x]]), int(w.end[last - 1])
         while b < len(raw) and raw[b] != 10 and raw[b] in b" \t\x0b\x0c\r":
             b += 1
-        if (a == 0 or raw[a - 1] == 10) and b < len(raw) and raw[b] == 10:
-            b += 1
+        if a == 0 or raw[a - 1] == 10:  # whole lines: one of the breaks around them goes as well
+            a, b = (a, b + 1) if b < len(raw) and raw[b] == 10 else (max(a - 1, at), b) if b == len(raw) else (a, b)
         out.append(raw[at:a])
         at = b
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def runs(left: DataFrame, scratch: Scratch) -> DataFrame:
-    """The repeated spans of ``left`` (doc_id, text_hash, text, gone: the lines taken from the text before, or null): doc_id, text_hash,
-    para, n_words, class_doc, class_para, start, end. Lines are counted as before they were taken, words (start, end) as in ``text``."""
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), 64):
-                part = frame.iloc[k : k + 64]
-                made = [chosen_grams(word_hashes(t)) for t in part["text"]]
-                n = [len(at) for at, _ in made]
-                if sum(n):
-                    at, gram = (np.concatenate(z) for z in zip(*made, strict=True))
-                    yield pd.DataFrame({"gram": gram.view(np.int64), "doc_id": np.repeat(part["doc_id"].to_numpy(), n), "text_hash": np.repeat(part["text_hash"].to_numpy(), n), "at": at})
-
-    rows = left.where("text IS NOT NULL")
-    places = scratch.keep(map_slices(rows.select("doc_id", "text_hash", "text"), choose, "gram long, doc_id long, text_hash long, at int"), "grams")
-    place = F.struct("doc_id", "text_hash", "at")
-    firsts = places.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("gram", "first")
-    firsts = scratch.keep(firsts, "firsts")
-    kept = firsts.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "gram")).alias("places"))
-    kept = scratch.keep(kept, "kept")
-
-    def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for doc_id, text, gone, some in zip(frame["doc_id"], frame["text"], frame["gone"], frame["places"], strict=True):
-                at = np.array([x["at"] for x in some], np.int64)
-                around, line = _around(word_hashes(text), at, 0xFFFFFFFE), _first_lines(text, gone)
-                yield pd.DataFrame({"gram": [x["gram"] for x in some], "class_doc": pd.array([doc_id] * len(at), "Int64"), "class_para": line[at], "around": [x.tobytes() for x in around]})
-
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    shown = map_slices(rows.join(kept, on).select("doc_id", "text", "gone", "places"), show, "gram long, class_doc long, class_para int, around binary", 64)
-    shown = scratch.keep(shown.dropDuplicates(["gram"]), "shown")  # equal rows show the same
-    others = places.join(firsts, "gram").where(~place.eqNullSafe(F.col("first"))).select("gram", "doc_id", "text_hash", "at").distinct().join(shown, "gram")
-    others = others.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("at", "class_doc", "class_para", "around"))).alias("places"))
-    others = scratch.keep(others, "others")
-
-    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for doc_id, text_hash, text, gone, some in zip(frame["doc_id"], frame["text_hash"], frame["text"], frame["gone"], frame["places"], strict=True):
-                around = np.frombuffer(b"".join(x["around"] for x in some), np.uint32).reshape(len(some), -1)
-                found = spans_of(word_hashes(text), np.array([x["at"] for x in some], np.int64), around)
-                line = _first_lines(text, gone) if found else None
-                made += [(doc_id, text_hash, line[a], b - a, some[k]["class_doc"], some[k]["class_para"], a, b) for a, b, k in found]
-            if made:
-                whole = pd.DataFrame(made, columns=["doc_id", "text_hash", "para", "n_words", "class_doc", "class_para", "start", "end"])
-                yield whole.astype({"doc_id": "Int64", "class_doc": "Int64"})
-
-    out = map_slices(rows.join(others, on).select("doc_id", "text_hash", "text", "gone", "places"), resolve, "doc_id long, text_hash long, para int, n_words long, class_doc long, class_para int, start int, end int", 64)
-    return scratch.keep(out.distinct(), "runs")
-
-
-def _first_lines(text: str, gone) -> np.ndarray:
-    """The line of each word, counted with the lines that are gone."""
-    line = _lines(text)
-    if gone is None or not len(gone):
-        return line
-    taken = set(int(x) for x in gone)
-    n = int(line[-1]) + 1 if len(line) else 0
-    first = [k for k in range(n + len(taken)) if k not in taken]
-    return np.array(first, np.int64)[line]
-
-
-def _without(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row of ``docs`` with its text after the removal of paragraphs (_passages_left) and what was removed (_passages_gone)."""
-    gone = found.where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("para").alias("_passages_gone"))
-    gone = scratch.keep(gone.withColumnsRenamed({"doc_id": "_passages_doc", "text_hash": "_passages_hash"}), "gone")
-    text = F.col("text").cast("string")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc")) & (F.xxhash64(text) == F.col("_passages_hash"))
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("_passages_gone", p["i"])), lambda p: p["x"]), "\n")
-    return docs.join(gone, on, "left").withColumn("_passages_left", F.when(F.col("_passages_gone").isNotNull(), left).otherwise(text))
+def _found(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    unit = scratch.keep(units(docs, min_words, bands, rows), "units")
+    found = scratch.keep(_classes(docs, unit, similarity, block, scratch), "classes")
+    return found, _runs(docs, unit, found, scratch)
 
 
-def _runs_left(joined: DataFrame, scratch: Scratch) -> DataFrame:
-    text = F.col("text").cast("string")
-    left = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col("_passages_left").alias("text"), F.col("_passages_gone").alias("gone"))
-    return runs(scratch.keep(left, "left"), scratch)
+def classes(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The paragraphs that have a copy or near copy elsewhere, as ``_classes`` gives them."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    unit = scratch.keep(units(docs, min_words, bands, rows), "units")
+    return _classes(docs, unit, similarity, block, scratch)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """The paragraphs with copies, and the runs that repeat in what is left, for the query. A run's ``para`` is the line in which it begins."""
-    scratch = Scratch(docs.sparkSession, "repeated")
-    found = scratch.keep(classes(docs), "classes")
-    spans = _runs_left(_without(docs.select("doc_id", "text"), found, scratch), scratch).withColumn("removed", F.lit(True))
+    """The paragraphs with copies, and the runs that repeat in what is left, for the query; the occurrences that stay are
+    among them. ``para`` is the line in which a paragraph or run begins."""
+    found, spans = _found(docs, Scratch(docs.sparkSession, "repeated"))
     columns = ["doc_id", F.col("para").cast("long").alias("para"), "n_words", "class_doc", F.col("class_para").cast("long").alias("class_para"), "removed"]
     return found.select(*columns).union(spans.select(*columns))
 
@@ -372,18 +392,20 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     ``n_chars``, where there is such a column, follows the new text.
     """
     scratch = Scratch(docs.sparkSession, "removal")
-    joined = _without(docs, classes(docs, **options), scratch)
-    spans = _runs_left(joined, scratch).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("_passages_spans"))
-    spans = scratch.keep(spans.withColumnsRenamed({"doc_id": "_passages_doc2", "text_hash": "_passages_hash2"}), "spans")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc2")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_passages_hash2"))
+    found, runs = _found(docs, scratch, **options)
+    gone = found.where("removed").select("doc_id", "text_hash", "start", "n_words").union(runs.where("removed").select("doc_id", "text_hash", "start", "n_words"))
+    gone = gone.groupBy(F.col("doc_id").alias("_passages_doc"), F.col("text_hash").alias("_passages_hash")).agg(F.collect_set(F.struct("start", "n_words")).alias("_passages_gone"))
+    gone = scratch.keep(gone, "gone")
+    text = F.col("text").cast("string")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc")) & (F.xxhash64(text) == F.col("_passages_hash"))
 
     @F.pandas_udf("string")
-    def cut_all(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if x is None else cut(t, [(y["start"], y["end"]) for y in x]) for t, x in zip(texts, found, strict=True)], dtype=object)
-
-    joined = joined.join(spans, on, "left")
-    joined = joined.withColumn("_passages_left", F.when(F.col("_passages_spans").isNull(), F.col("_passages_left")).otherwise(cut_all("_passages_left", "_passages_spans")))
-    same = F.col("_passages_gone").isNull() & F.col("_passages_spans").isNull()
-    joined = joined.where(same | F.col("_passages_left").rlike(r"\S"))
-    kept = [F.col("_passages_left").alias(c) if c == "text" else F.when(same, F.col(c)).otherwise(F.char_length("_passages_left")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
+    def cut_all(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else cut(t, [(y["start"], y["start"] + y["n_words"]) for y in x]) for t, x in zip(texts, gone, strict=True)], dtype=object)
+
+    joined = docs.join(gone, on, "left")
+    touched = F.col("_passages_gone").isNotNull()
+    joined = joined.withColumn("_passages_left", cut_all(F.when(touched, text), "_passages_gone"))
+    joined = joined.where(~touched | F.col("_passages_left").rlike(r"\S"))
+    now = {"text": F.when(touched, F.col("_passages_left")).otherwise(text), "n_chars": F.when(touched, F.char_length("_passages_left")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select(*((now[c].cast(docs.schema[c].dataType) if c in now else F.col(c)).alias(c) for c in docs.columns))
