@@ -11,11 +11,8 @@ In what is left (no word of a removed paragraph) each window of 50 words that st
 word and wherever lines break: of a run of 50 words and more one occurrence stays. Of all grams of 13 words each window chooses
 the one of smallest hash. Only windows whose chosen gram repeats are compared at all, by 128 bits of hash.
 
-Scale: one pass reads the texts; what leaves it are ids, band keys and chosen grams (about one row in 20 words). Bands are
-aggregated to the least id of each key, and a colliding point first meets that one only: candidate pairs are made
-distinct before any shingle set is fetched. A bucket whose points are then in one component is done, however large it is. The
-others are dealt out in blocks: members of the bucket's largest component go to one block each, the rest to all. No
-step gathers a bucket before it is dealt, and all joins are between written tables or aggregates, which AQE can split.
+Scale: one pass reads the texts; what leaves it are ids, band keys and chosen grams (about one in 20 words). ``sets`` says how bands
+are dealt; shingle sets are fetched once for what collides. All joins are between written tables or aggregates, which AQE can split.
 
 Cases: a null text has no paragraphs, nor has one of white space. Repeated rows are equal occurrences: of two rows of one doc_id with
 equal texts neither is removed for the other's sake. Null doc_ids come first. A very long line is one paragraph, a very long
@@ -35,7 +32,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from textloom.llm.common import Scratch, lean, map_slices
-from textloom.llm.components import components, whole_runs
+from textloom.llm.components import components
+from textloom.llm.sets import link, ranges, signatures, similar, similar_links
 from textloom.llm.words import Words, binaries, by_bytes, mix, range_hashes, shingles
 
 MIN_WORDS, SHINGLE, SIMILARITY = 30, 5, 0.8
@@ -47,22 +45,6 @@ RUN, GRAM = 50, 13
 _ENDS = 4
 
 
-def _factors(n: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def signatures(flat: np.ndarray, start: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(sets, bands): a 64-bit hash of each band of the MinHash signature of the sets that begin at ``start`` in ``flat``."""
-    short = (flat >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(start), bands * rows), np.uint64)
-    for k, factor in enumerate(_factors(bands * rows)):
-        least[:, k] = np.minimum.reduceat(short * factor, start)
-    out = np.full((len(start), bands), 0x9E3779B97F4A7C15, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
-    for k in range(rows):
-        out = mix(out ^ least[:, k::rows])
-    return out
-
-
 def paragraph_words(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the paragraphs of some texts start and end, in words."""
     n = len(w.hash)
@@ -80,12 +62,6 @@ def paragraph_words(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], end[keep]
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, one after the other."""
-    at = np.cumsum(size) - size
-    return np.repeat(start - at, size) + np.arange(int(size.sum()))
-
-
 def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a run of word hashes."""
     return np.unique(shingles(hashes, min(size, len(hashes))))
@@ -142,8 +118,8 @@ def units(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
             w = Words(binaries(batch.column("text")))
             start, end = paragraph_words(w, min_words)
             count = end - start - SHINGLE + 1
-            flat = shingles(w.hash, SHINGLE)[_ranges(start, count)]
-            made = signatures(flat, np.cumsum(count) - count, bands, rows) if len(start) else np.empty((0, bands), np.uint64)
+            flat = shingles(w.hash, SHINGLE)[ranges(start, count)]
+            made = signatures(flat, np.cumsum(count) - count, bands, rows)
             ids = _digests(w, start, end)
             text = w.text[start]
             _, chosen, gram = window_choices(w)
@@ -167,28 +143,6 @@ def units(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     return _doc_rows(docs).mapInArrow(run, kind)
 
 
-def link(sets: list[np.ndarray], label: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that join the labels of all sets whose Jaccard similarity is at least ``least``; pairs of one label are not compared."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    start = np.cumsum(size) - size
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    here, label, found = np.zeros(int(code.max()) + 1, bool), label.copy(), []
-    for i in range(len(sets) - 1):
-        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
-        if not len(rest):
-            continue
-        own = code[start[i] : start[i] + size[i]]
-        here[own] = True
-        both = np.add.reduceat(here[code[_ranges(start[rest], size[rest])]], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
-        here[own] = False
-        near = rest[both >= least * (size[rest] + size[i] - both)]
-        found += [(i, int(j)) for j in near]
-        if len(near):
-            label[np.isin(label, label[near])] = label[i]
-    return found
-
-
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(short, id, shingles) of the paragraphs that ``wanted`` (doc, places: array of (start, words, id)) names."""
 
@@ -211,63 +165,13 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, unit: DataFrame, points: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
     """(a, b): links of similar paragraphs (ids) that span the components of similarity."""
+
+    def fetch(some: DataFrame) -> DataFrame:
+        wanted = points.join(some, "short", "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.words", "id")).alias("places"))
+        return _fetched(docs, scratch.keep(wanted, "wanted")).dropDuplicates(["id"]).withColumn("mark", F.lit(None).cast("binary"))
+
     keys = unit.select(F.explode(F.arrays_zip("short", "band")).alias("p")).select("p.short", F.explode("p.band").alias("key"))
-    least = keys.groupBy("key").agg(F.min("short").alias("centre"), F.max("short").alias("top")).where("centre <> top").select("key", "centre")
-    least = scratch.keep(least, "least")
-    hits = scratch.keep(keys.join(least, "key").select("key", "short", "centre").distinct(), "hits")
-    pairs = scratch.keep(hits.where("short <> centre").select("short", "centre").distinct(), "pairs")
-    some = pairs.select("short").union(pairs.select("centre")).distinct()
-    wanted = points.join(some, "short", "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.words", "id")).alias("places"))
-    sets = scratch.keep(_fetched(docs, scratch.keep(wanted, "wanted")).dropDuplicates(["id"]), "sets")
-    met = pairs.join(sets, "short").withColumnsRenamed({"id": "a", "shingles": "x", "short": "_short"})
-    met = met.join(sets.withColumnsRenamed({"id": "b", "shingles": "y", "short": "centre"}), "centre").select("a", "b", "x", "y")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(frame["x"], frame["y"], strict=True)]
-            yield frame.loc[np.array(good, bool), ["a", "b"]]
-
-    links = scratch.keep(map_slices(met, verify, "a binary, b binary"), "links")
-    # buckets in which more than one component is left
-    label = components(links, scratch)
-    label = sets.select("short", "id").join(label.withColumnsRenamed({"node": "id"}), "id", "left").select("short", "id", F.coalesce("root", "id").alias("label"))
-    label = scratch.keep(label, "label")
-    members = scratch.keep(hits.select("key", "short").join(label, "short"), "members")
-    parts = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    parts = parts.select("key", F.col("most.label").alias("most"), blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("most.n")).alias("others"))
-    open_ = members.join(scratch.keep(parts, "parts"), "key")
-    slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    # the rest of a bucket goes to all blocks of its largest component, and meets itself in pairs of blocks
-    all_ = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.lit(-1).alias("x"), k.alias("y")))
-    own = slot(F.col("others"))
-    among = F.when(F.col("others") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"))))
-    empty = F.expr("CAST(array() AS array<struct<x: int, y: int>>)")
-    place = F.when(F.col("label") == F.col("most"), F.array(F.struct(F.lit(-1).alias("x"), slot(F.col("blocks")).alias("y")))).otherwise(F.concat(all_, F.coalesce(among, empty)))
-    dealt = open_.select("id", "label", "key", F.explode(place).alias("p")).select("id", "label", F.xxhash64("key", "p.x", "p.y").alias("bucket"))
-    dealt = dealt.join(sets.select("id", "shingles"), "id")
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_runs(frames, "bucket"):
-            for _, bucket in frame.groupby("bucket", sort=False):
-                bucket = bucket.drop_duplicates("id").sort_values("id")
-                if len(bucket) > 1:
-                    found = link([np.frombuffer(x, np.uint64) for x in bucket["shingles"]], pd.factorize(bucket["label"])[0], similarity)
-                    if found:
-                        ids, at = bucket["id"].to_numpy(), np.array(found)
-                        yield pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
-
-    more = map_slices(dealt.repartition("bucket").sortWithinPartitions("bucket"), compare, "a binary, b binary")
-    return label.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).union(scratch.keep(more, "more"))
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least ``least``."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
+    return similar_links(keys, fetch, lambda x, _, y, __: similar(x, y, similarity), lambda sets, label, _: link(sets, label, similarity), block, scratch)
 
 
 def _classes(docs: DataFrame, unit: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
@@ -297,10 +201,26 @@ def merged(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(docs: DataFrame, unit: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The repeated spans of what is left: doc_id, text_hash, para, n_words, class_doc, class_para, start, removed."""
-    grams = unit.select("doc", F.explode(F.arrays_zip("gram", "at")).alias("g")).select("doc", "g.gram", "g.at")
+    gone = found.where("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "n_words")).alias("gone"))
+    gone = scratch.keep(gone, "gone")
+
+    def leave(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Only the grams that touch no removed paragraph."""
+        for frame in frames:
+            grams, places = [], []
+            for gram, at, taken in zip(frame["gram"], frame["at"], frame["gone"], strict=True):
+                free = np.ones(len(at), bool)
+                for g in taken if taken is not None else ():
+                    free[np.searchsorted(at, g["start"] - GRAM, "right") : np.searchsorted(at, g["start"] + g["n_words"])] = False
+                grams.append(gram[free])
+                places.append(at[free])
+            yield pd.DataFrame({"doc": frame["doc"], "gram": grams, "at": places})
+
+    left = unit.select("doc", "gram", "at").where(F.size("at") > 0).join(gone, "doc", "left")
+    left = scratch.keep(map_slices(left, leave, "doc long, gram array<long>, at array<int>", 256).where(F.size("at") > 0), "left")
+    grams = left.select("doc", F.explode(F.arrays_zip("gram", "at")).alias("g")).select("doc", "g.gram", "g.at")
     often = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     some = grams.join(often, "gram").groupBy("doc").agg(F.collect_set("at").alias("at"))
-    gone = found.where("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "n_words")).alias("gone"))
     some = scratch.keep(some.join(gone, "doc", "left"), "repeat")
 
     def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,55 +1,49 @@
 """SimHash near-duplicates with BK-trees.
 
-A document's fingerprint has, bit by bit, the majority of the hashes of its word shingles. Equal
-fingerprints are one point (so exact copies cost nothing further). Points are routed to shards, a BK-tree
-is built of each shard (children keyed by their integer Hamming distance to the parent, small subtrees as
-leaves), and a search follows only the edges within the radius of a query's distance. Links become
-components, and each document gets the smallest doc_id of its component.
-
-Shards: a tree of all fingerprints can't be broadcast or collected when there are billions, so the shard
-trees go to the points instead of to every executor. Two ways to route:
-
-* ``exact_keys``: the fingerprint is cut into ``blocks`` bit blocks. Two points that differ in at most
-  ``radius`` bits agree in at least ``blocks - radius`` blocks, so each choice of that many blocks is a
-  shard key and no link is lost.
-* ``wide_keys``: keys are random choices of bits, for wide fingerprints and radii where an exact
-  routing would compare everything; the recall is tuned by the number of keys, the shards' size by their bits.
-
-``deduplicate`` takes such links as candidates only: documents in one component of candidates meet with their shingle
-sets, and the links that count are those of exact Jaccard similarity.
-
-Scale: only (key, fingerprint) rows are shuffled. A task reads its shards in order and holds one; it
-gives one row a point and shard (a link to the shard's smallest linked point), never all pairs. Within a
-shard whole components are grown first and leave the tree, so thousands of near copies cost
-about one search each. The last join, documents to fingerprints, is between written tables, so a
-fingerprint that a third of all documents share can be split by AQE.
+A document's fingerprint has, bit by bit, the majority of the hashes of its word shingles. Equal fingerprints are one point (so exact
+copies cost nothing further). Points are routed to shards, a BK-tree is built of each shard (children keyed by their integer Hamming
+distance to the parent), and a search follows only the edges within the radius of a query's distance. Links become components,
+and each document gets the smallest doc_id of its component.
+
+Shards: a tree of all fingerprints can't be broadcast or collected when there are billions, so the points go to the shard
+trees instead. The fingerprint is cut into blocks of bits. Two points that differ in at most ``radius`` bits agree in all but ``radius``
+blocks, so each choice of so many blocks is a shard key and no link is lost. Of a key as many leading bits are taken as give a
+shard about ``SHARD`` points; with three blocks a point goes to three shards, and beyond 2**34 points to six of four blocks.
+
+``deduplicate`` looks for documents of exact Jaccard similarity. There shards are the bands of MinHash signatures, whose number does not
+grow with the points; a point first meets the root of its shard's tree, and where that leaves more than one component
+the shard's tree is searched. Candidates within the radius of 256-bit fingerprints are compared by their shingle sets.
+
+Scale: only (key, fingerprint) rows are shuffled, and links that span each shard's components come back, never all pairs. A shard of
+more than ``BLOCK`` points (many near copies of one text) is dealt out as pairs of blocks. The last join, documents to
+fingerprints, is between written tables, so a fingerprint that a third of all documents share can be split by AQE.
 
 Cases: text null, empty or without words: fingerprint zero, linked like any other. Fewer words than a
-shingle: the whole sequence is one. Null doc_ids are kept; a component of only such has a null id. Repeated
-rows are returned as often as they occur. Other columns are not read.
+shingle has: the whole sequence is one shingle. Repeated rows and null doc_ids stay rows; a component of null doc_ids only
+has a null id. A very long text is hashed whole, in batches of shingles. An empty table gives an empty result. Other columns are
+kept by ``deduplicate`` and not read otherwise.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
-
-from textloom.llm.common import Scratch, map_slices
-from textloom.llm.components import buckets, components, roots, whole_runs
-from textloom.llm.passages import similar
-
-SHINGLE, RADIUS, BLOCKS = 3, 2, 4
-LEAF = 128
-#: Shards of at most so many points are searched many at once.
-SMALL = 16
-#: Components of more candidates are dealt out as pairs of blocks.
-BLOCK = 1024
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from textloom.llm.common import Scratch, lean, map_slices
+from textloom.llm.components import components, roots, whole_runs
+from textloom.llm.sets import ranges, signatures, similar, similar_links
+from textloom.llm.words import Words, binaries, by_bytes, range_hashes, shingles
+
+SHINGLE, RADIUS = 3, 2
+#: Points of a shard on average, and at most before it is dealt out in blocks.
+SHARD, BLOCK = 1024, 8192
 _BATCH = 32768
 
 
@@ -62,223 +56,150 @@ def shingles_of(text: str | None, size: int) -> tuple[bytes, np.ndarray, np.ndar
     return b" ".join(words), starts[: len(words) - n + 1] if n else starts, ends[n - 1 :] if n else ends
 
 
-def _hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
-    """Hash bits of shingles, most significant first: rows of ``8 * words`` bytes."""
-    cuts = zip(starts.tolist(), ends.tolist(), strict=True)
-    if words == 1:
-        digest = xxhash.xxh64_digest
-        raw = b"".join([digest(joined[a:b], 42) for a, b in cuts])
-    else:
-        digest = xxhash.xxh3_128_digest
-        raw = b"".join([digest(joined[a:b], seed) for a, b in cuts for seed in range(words // 2)])
-    return np.frombuffer(raw, np.uint8).reshape(-1, 8 * words)
-
-
-def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> bytes:
-    """``8 * words`` bytes; ``words`` is one or even."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> bytes:
+    """Eight bytes, the most significant bit first."""
     joined, starts, ends = shingles_of(text, shingle)
-    count = np.zeros(64 * words, np.int64)
+    count, digest = np.zeros(64, np.int64), xxhash.xxh64_digest
     for k in range(0, len(starts), _BATCH):
-        count += np.unpackbits(_hashes(joined, starts[k : k + _BATCH], ends[k : k + _BATCH], words), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * count > len(starts)).tobytes() if len(starts) else bytes(8 * words)
+        raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[k : k + _BATCH].tolist(), ends[k : k + _BATCH].tolist(), strict=True)])
+        count += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(starts)).tobytes() if len(starts) else bytes(8)
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, w0, w1, ...): the fingerprint as signed longs."""
-    names = [f"w{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, w0): the fingerprint as a signed long."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            raw = b"".join(fingerprint(t, shingle, words) for t in frame["text"])
-            made = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, words)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], **{n: made[:, k] for k, n in enumerate(names)}})
+            raw = b"".join(fingerprint(t, shingle) for t in frame["text"])
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "w0": np.frombuffer(raw, ">i8").astype(np.int64)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return map_slices(rows, run, "doc_id long, w0 long", text="text")
 
 
-def exact_keys(radius: int = RADIUS, blocks: int = BLOCKS) -> list[list[int]]:
-    """Masks of one word: no pair within the radius of 64 bits is missed."""
+def exact_keys(radius: int = RADIUS, blocks: int = RADIUS + 1, bits: int = 64) -> list[list[int]]:
+    """Masks of one word, of at most ``bits`` bits each: no pair within the radius of 64 bits is missed."""
     cuts = [64 * k // blocks for k in range(blocks + 1)]
-    block = [((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in range(blocks)]
-    return [[sum(block[k] for k in some)] for some in combinations(range(blocks), blocks - radius)]
-
-
-def sampled_keys(words: int, keys: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """Masks of ``words`` words: ``keys`` random choices of ``bits`` bits."""
-    random = np.random.default_rng(seed)
     out = []
-    for _ in range(keys):
-        masks = [0] * words
-        for b in random.choice(64 * words, bits, replace=False).tolist():
-            masks[b // 64] |= 1 << (b % 64)
-        out.append(masks)
+    for some in combinations(range(blocks), blocks - radius):
+        of = [b for k in some for b in range(cuts[k], cuts[k + 1])]
+        out.append([sum(1 << b for b in of[:bits])])
     return out
 
 
-def wide_keys(points: int, words: int, radius: int, recall: float, bits: int) -> list[list[int]]:
-    """Sampled keys for so many points: a shard keeps at most 256 points on average as the points grow (``bits`` at least), and the number
-    of keys follows, so that two points ``radius`` bits apart meet with probability ``recall``."""
-    bits = max(bits, points.bit_length() - 8)
-    meet = (1 - radius / (64 * words)) ** bits
-    return sampled_keys(words, math.ceil(math.log(1 - recall) / math.log(1 - meet)), bits)
+def shard_keys(points: int, radius: int = RADIUS, shard: int = SHARD) -> list[list[int]]:
+    """Exact keys whose shards have about ``shard`` points."""
+    bits = max(0, (points // shard).bit_length())
+    blocks = radius + 1
+    while (blocks - radius) * (64 // blocks) < bits - 3 and blocks < radius + 4:
+        blocks += 1
+    return exact_keys(radius, blocks, bits)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class BKTree:
-    """Points (rows of uint64 words) by distance to their parent. ``alive`` points are found."""
-
-    def __init__(self, x: np.ndarray, who: np.ndarray, leaf: int = LEAF):
-        self.x, self.root = x, None
-        stack = [(who, None, 0)]
-        while stack:
-            who, parent, edge = stack.pop()
-            if len(who) <= leaf:
-                node = (None, who, None)
-            else:
-                node = (int(who[0]), None, {})
-                d = self.distance(x[who[1:]], x[who[0]])
-                order = np.argsort(d, kind="stable")
-                cut = np.flatnonzero(np.diff(d[order])) + 1
-                for group in np.split(order, cut):
-                    stack.append((who[1:][group], node, int(d[group[0]])))
-            if parent is None:
-                self.root = node
-            else:
-                parent[2][edge] = node
+class BKForest:
+    """BK-trees of many shards as arrays. ``x``: points (rows of uint64 words), ``shard``: their shards, numbered from 0 in order.
+    Children of a node lie side by side, in order of their distance to it."""
+
+    def __init__(self, x: np.ndarray, shard: np.ndarray):
+        self.x, self.span = x, 64 * x.shape[1] + 1
+        who, group, at, keys = np.arange(len(x)), shard, [], []
+        self.trees = int(shard[-1]) + 1 if len(shard) else 0
+        base = 0
+        while len(who):  # a level: the first of each group is its node, the others go to its children
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            node = who[first]
+            at.append(node)
+            rest = np.ones(len(who), bool)
+            rest[first] = False
+            who, group = who[rest], group[rest]
+            edge = (base + group) * self.span + self.distance(x[who], x[node[group]])
+            order = np.argsort(edge, kind="stable")
+            who = who[order]
+            key, group = np.unique(edge[order], return_inverse=True)
+            keys.append(key)
+            base += len(node)
+        self.at = np.concatenate([np.empty(0, np.int64), *at])
+        self.keys = np.concatenate([np.empty(0, np.int64), *keys])
+        self.compared = 0
 
     @staticmethod
     def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
-    def search(self, queries: np.ndarray, radius: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of all alive points within the radius of the queries (numbers of points)."""
-        out_q, out_p, stack = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [(self.root, queries)]
-        while stack:
-            (point, leaf, children), q = stack.pop()
-            if leaf is not None:
-                leaf = leaf[alive[leaf]]
-                if len(leaf):
-                    a, b = np.nonzero(self.distance(self.x[q][:, None], self.x[leaf][None]) <= radius)
-                    out_q.append(q[a])
-                    out_p.append(leaf[b])
-                continue
+    def search(self, queries: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of all points within the radius of the queries (numbers of points), each in its own tree."""
+        out_q, out_p, q, node = [np.empty(0, np.int64)], [np.empty(0, np.int64)], queries, tree
+        while len(q):
+            point = self.at[node]
             d = self.distance(self.x[q], self.x[point])
-            if alive[point]:
-                near = q[d <= radius]
-                out_q.append(near)
-                out_p.append(np.full(len(near), point))
-            for edge, child in children.items():
-                follow = q[np.abs(d - edge) <= radius]
-                if len(follow):
-                    stack.append((child, follow))
+            self.compared += len(q)
+            near = d <= radius
+            out_q.append(q[near])
+            out_p.append(point[near])
+            low = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
+            many = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), "right") - low
+            q, node = np.repeat(q, many), self.trees + ranges(low, many)
         return np.concatenate(out_q), np.concatenate(out_p)
 
 
-def link(x: np.ndarray, radius: int, seeds: int = 64, block: int = 256) -> np.ndarray:
-    """For each point of a shard the smallest number of a point in its component (single links)."""
-    n = len(x)
-    alive = np.ones(n, bool)
-    tree, built = BKTree(x, np.arange(n)), n
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def search(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal tree, built
-        left = int(alive.sum())
-        if left < built // 2:
-            tree, built = BKTree(x, np.flatnonzero(alive)), left
-        return tree.search(q, radius, alive)
-
-    for seed in np.linspace(0, n - 1, seeds).astype(int).tolist() if n > 4 * LEAF else ():
-        # Grow whole components first: what is reached is no longer a target, so dense groups end soon.
-        if alive[seed]:
-            alive[seed], front = False, np.array([seed])
-            while len(front):
-                now, front = front[:block], front[block:]
-                hit = np.unique(search(now)[1])
-                alive[hit] = False
-                links.append((np.full(len(hit), seed), hit))
-                front = np.concatenate([front, hit])
-    rest = np.flatnonzero(alive)
-    for k in range(0, len(rest), block):
-        now = rest[k : k + block]
-        a, b = search(now)
-        root = roots(n, a, b)  # a block's links are at once a spanning forest
-        far = np.flatnonzero(root != np.arange(n))
-        links.append((root[far], far))
-        alive[now] = False
-    a, b = (np.concatenate(z) for z in zip(*links, strict=True))
-    return roots(n, a, b)
-
-
-def _small(x: np.ndarray, key: np.ndarray, most: int, radius: int) -> np.ndarray:
-    """As ``link`` for many shards of at most ``most`` points at once: each is one leaf, compared row by next row."""
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    at = np.arange(len(key))
-    for step in range(1, most):
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]  # what ends here has no farther partner either
-        if not len(at):
-            break
-        near = at[BKTree.distance(x[at], x[at + step]) <= radius]
-        a.append(near)
-        b.append(near + step)
-    return roots(len(key), np.concatenate(a), np.concatenate(b))
-
-
-def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, words: int, small: int = SMALL) -> DataFrame:
-    """(a, b): links of points (ids with words) that span each shard's components."""
-    names = [f"w{k}" for k in range(words)]
-    key: list[Column] = [F.struct(F.lit(n).alias("n"), *(F.col(w).bitwiseAND(F.lit(_signed(m))).alias(w) for w, m in zip(names, mask, strict=True))) for n, mask in enumerate(masks)]
+def links_of(x: np.ndarray, shard: np.ndarray, radius: int, block: int = 4096) -> np.ndarray:
+    """For each point the smallest number of a point in its component of its shard (single links)."""
+    forest, up = BKForest(x, shard), np.arange(len(x))
+    for k in range(0, len(x), block):
+        q = np.arange(k, min(k + block, len(x)))
+        a, b = forest.search(q, shard[q], radius)
+        up = roots(len(x), np.concatenate((np.arange(len(x)), a)), np.concatenate((up, b)))
+    return up
+
+
+def link(x: np.ndarray, radius: int) -> np.ndarray:
+    """As ``links_of`` for one shard."""
+    return links_of(x, np.zeros(len(x), np.int64), radius)
+
+
+def _shard_links(points: DataFrame, masks: list[list[int]], radius: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of points (id, w0) that span each shard's components."""
+    key: list[Column] = [F.xxhash64(F.lit(n), F.col("w0").bitwiseAND(F.lit(_signed(m)))) for n, (m,) in enumerate(masks)]
     # the key's hash stands for the key: a collision joins two shards, and distances decide anyhow
-    routed = points.select("id", *names, F.explode(F.transform(F.array(*key), lambda k: F.xxhash64(k))).alias("key"))
+    routed = points.select("id", "w0", F.explode(F.array(*key)).alias("key"))
+    large = routed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    routed = routed.join(scratch.keep(large, "large"), "key", "left")
+    slot = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, slot) * F.col("parts") + F.greatest(o, slot))
+    routed = routed.select("id", "w0", "key", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(pair)).alias("pair"))
+    routed = routed.select("id", "w0", F.when(F.col("pair") < 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_runs(frames, "key"):
-            key, ids = frame["key"].to_numpy(), frame["id"].to_numpy()
-            x = np.ascontiguousarray(frame[names].to_numpy().view(np.uint64))
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            size = np.diff(edge)
-            many = np.repeat(size, size)
-            few = np.flatnonzero((many > 1) & (many <= small))
-            root = _small(x[few], key[few], small, radius)
-            far = np.flatnonzero(root != np.arange(len(root)))
-            a, b = [ids[few[root[far]]]], [ids[few[far]]]
-            for start, n in zip(edge[:-1][size > small].tolist(), size[size > small].tolist(), strict=True):
-                own = ids[start : start + n]
-                root = link(x[start : start + n], radius)
-                far = np.flatnonzero(root != np.arange(n))
-                a.append(own[root[far]])
-                b.append(own[far])
-            made = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-            if len(made):
-                yield made
+            ids, x = frame["id"].to_numpy(), frame["w0"].to_numpy().view(np.uint64)[:, None]
+            shard = np.cumsum(np.diff(frame["key"].to_numpy(), prepend=frame["key"].iloc[0]) != 0)
+            up = links_of(x, shard, radius)
+            far = np.flatnonzero(up != np.arange(len(up)))
+            if len(far):
+                yield pd.DataFrame({"a": ids[up[far]], "b": ids[far]})
 
     return map_slices(routed.repartition("key").sortWithinPartitions("key"), run, "a long, b long", 1 << 15)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(doc_id, w0, component_id) for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marks = scratch.keep(fingerprints(docs, shingle, 1).withColumn("id", F.col("w0")), "marks")
+    marks = scratch.keep(fingerprints(docs, shingle).withColumn("id", F.col("w0")), "marks")
     points = scratch.keep(marks.groupBy("id", "w0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
-    links = scratch.keep(_shard_links(points.select("id", "w0"), exact_keys(radius), radius, 1), "shards")
-    return _classes(marks, points, links, ["w0"], scratch)
-
-
-def _classes(marks: DataFrame, points: DataFrame, links: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
-    """``marks`` with the component_id that the links of their points give."""
+    links = scratch.keep(_shard_links(points.select("id", "w0"), shard_keys(points.count(), radius, shard), radius, scratch, block), "shards")
     joined = components(links, scratch)
     named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
     classes = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
-    roots = named.select("id", "root").join(scratch.keep(classes, "classes"), "root").select("id", "component_id")
-    roots = scratch.keep(roots, "roots")
-    out = marks.join(roots.withColumn("found", F.lit(True)), "id", "left")
-    return out.select("doc_id", *names, F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = named.select("id", "root").join(scratch.keep(classes, "classes"), "root").select("id", "component_id")
+    found = scratch.keep(found, "roots")
+    out = marks.join(found.withColumn("found", F.lit(True)), "id", "left")
+    return out.select("doc_id", "w0", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def simhash_classes(docs: DataFrame) -> DataFrame:
@@ -286,21 +207,26 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of 256 bits of the distinct five-word shingles choose candidates. Documents of Jaccard similarity 0.8 have a
-#: cosine of 0.89 and differ in 39 bits on average, with a deviation of under 6, so the radius is three of these wider. ``recall`` is
-#: that of the keys for two points right at the radius; nearer ones are found more often (README has the measured recall).
-WIDE = {"shingle": 5, "radius": 56, "words": 4, "recall": 0.8, "bits": 14}
+#: Fingerprints of 256 bits of the distinct five-word shingles. Documents of Jaccard similarity 0.8 have a cosine of 0.89 and differ in
+#: 39 bits on average, with a deviation of under 6, so the radius is three of these wider. With twelve bands of four two such
+#: documents share a shard with probability 0.998.
+WIDE = {"shingle": 5, "radius": 56, "bands": 12, "rows": 4}
 SIMILARITY = 0.8
+_WORDS = 4
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    joined, starts, ends = shingles_of(text, size)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
+def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of each text."""
+    flat, out = shingles(w.hash, size), []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(flat[a : b - size + 1]))
+        else:
+            out.append(range_hashes(w.hash[a:b], np.array([0]), np.array([b - a])) if b > a else np.empty(0, np.uint64))
+    return out
 
 
-def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+def set_fingerprint(hashes: np.ndarray, words: int = _WORDS) -> np.ndarray:
     """The fingerprint of a set of shingles as uint64 words: each shingle counts once, as in the Jaccard similarity."""
     if not len(hashes):
         return np.zeros(words, np.uint64)
@@ -311,98 +237,99 @@ def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
             x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
-            count[w] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * count > len(hashes), axis=1).view(">u8").astype(np.uint64).ravel()
+            count[w] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(hashes), axis=1).view(np.uint64).ravel()
 
 
-def _set_id(hashes: np.ndarray) -> int:
-    """What stands for a set: equal sets are one point."""
-    return _signed(xxhash.xxh3_64_intdigest(hashes.tobytes()))
-
-
-def set_marks(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(doc_id, id, w0, w1, ...) of the shingle sets."""
-    names = [f"w{k}" for k in range(words)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids, made = np.empty(len(frame), np.int64), np.empty((len(frame), words), np.uint64)
-            for k, text in enumerate(frame["text"]):
-                hashes = shingle_set(text, shingle)
-                ids[k], made[k] = _set_id(hashes), set_fingerprint(hashes, words)
-            signed = made.view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "id": ids, **{n: signed[:, k] for k, n in enumerate(names)}})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_slices(rows, run, "doc_id long, id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def link_sets(sets: list[np.ndarray], x: np.ndarray, radius: int, least: float) -> np.ndarray:
-    """For each set the smallest number of a set in its component: links are pairs of fingerprints (rows of ``x``) within the
-    radius whose sets have Jaccard similarity ``least``. Pairs of one component already are not compared."""
-    label = np.arange(len(sets))
-    for i in range(1, len(sets)):
-        far = BKTree.distance(x[:i], x[i])
-        near = np.flatnonzero(far <= radius)
-        near = near[np.argsort(far[near], kind="stable")]
-        while len(near):
-            j, near = near[0], near[1:]
-            if similar(sets[i], sets[j], least):
-                a, b = sorted((label[i], label[j]))
-                label[: i + 1][label[: i + 1] == b] = a
-                near = near[label[near] != a]
-    return label
-
-
-def _verified(docs: DataFrame, points: DataFrame, links: DataFrame, shingle: int, radius: int, words: int, least: float, block: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links that span the components of exact similarity within the components of the candidate ``links``."""
-    names = [f"w{k}" for k in range(words)]
-    found = scratch.keep(components(links, scratch), "candidates")
-    parts = found.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    found = found.join(scratch.keep(parts, "parts"), "root").withColumnRenamed("node", "id")
-    found = scratch.keep(found.join(points, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, shingle) for t in frame["text"]]
-            yield pd.DataFrame({"id": [_set_id(h) for h in sets], "shingles": [h.tobytes() for h in sets]})
-
-    # the text of a point is read again where its first document stands
-    firsts = scratch.keep(found.select(F.col("first").alias("_first")).distinct(), "firsts")
+def _doc_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = map_slices(rows.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi"), run, "id long, shingles binary")
-    sets = scratch.keep(sets, "sets")
-    pair = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, F.col("slot")) * F.col("parts") + F.greatest(o, F.col("slot")))
-    )
-    routed = found.select("id", *names, "root", F.explode(pair).alias("pair")).select("id", *names, F.xxhash64("root", "pair").alias("bucket")).join(sets, "id")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for bucket in buckets(frames, "bucket"):
-            bucket = bucket.drop_duplicates("id").sort_values("id")  # rows of equal text read a set more than once
-            ids, x = bucket["id"].to_numpy(), np.ascontiguousarray(bucket[names].to_numpy().view(np.uint64))
-            root = link_sets([np.frombuffer(h, np.uint64) for h in bucket["shingles"]], x, radius, least)
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            if len(linked):
-                yield pd.DataFrame({"a": ids[root[linked]], "b": ids[linked]})
-
-    return scratch.keep(map_slices(routed.repartition("bucket").sortWithinPartitions("bucket"), verify, "a long, b long"), "verified")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("doc"), "text")
+
+
+def set_marks(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, text_hash, doc, id, short, key): the set's 128-bit id and its bands."""
+    kind = T.StructType.fromDDL("doc_id long, text_hash long, doc long, id binary, short long, key array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        arrow = to_arrow_schema(kind)
+        for batch in by_bytes(batches):
+            sets = shingle_sets(Words(binaries(batch.column("text"))), shingle)
+            ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            some = [s for s in sets if len(s)]
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            key = signatures(np.concatenate([np.empty(0, np.uint64), *some]), (np.cumsum(size) - size)[size > 0], bands, rows).view(np.int64)
+            ends = np.concatenate(([0], np.cumsum((size > 0) * bands)))
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.ravel(), pa.int64()))
+            short = pa.array(np.frombuffer(b"".join(ids), "<i8")[::2], pa.int64())
+            columns = [*(batch.column(c) for c in ("doc_id", "text_hash", "doc")), pa.array(ids, pa.binary()), short, made]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return _doc_rows(docs).mapInArrow(run, kind)
+
+
+def link_sets(sets: list[np.ndarray], label: np.ndarray, marks: list[bytes], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links that join labels: pairs that the shard's BK-tree finds within the radius and whose sets have Jaccard similarity ``least``.
+    Pairs of one label are not compared."""
+    x = np.frombuffer(b"".join(marks), np.uint64).reshape(len(marks), -1)
+    forest, label, found = BKForest(x, np.zeros(len(x), np.int64)), label.copy(), []
+    for k in range(0, len(x), 256):
+        q = np.arange(k, min(k + 256, len(x)))
+        a, b = forest.search(q, np.zeros(len(q), np.int64), radius)
+        new = (a < b) & (label[a] != label[b])
+        a, b = a[new], b[new]
+        for i in np.argsort(BKForest.distance(x[a], x[b]), kind="stable").tolist():  # the nearest first: they settle the others
+            i, j = int(a[i]), int(b[i])
+            if label[i] != label[j] and similar(sets[i], sets[j], least):
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
 
 
 def deduplicate(
-    docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], words: int = WIDE["words"], recall: float = WIDE["recall"], bits: int = WIDE["bits"],
-    least: float = SIMILARITY, block: int = BLOCK,
+    docs: DataFrame, shingle: int = WIDE["shingle"], radius: int = WIDE["radius"], bands: int = WIDE["bands"], rows: int = WIDE["rows"],
+    least: float = SIMILARITY, block: int = 1024,
 ) -> DataFrame:
     """``docs`` without near copies: of each component the row of the smallest doc_id stays. Links are pairs whose sets of shingles
-    have Jaccard similarity ``least``, as computed; fingerprints only choose the pairs.
+    have Jaccard similarity ``least``; bands and fingerprints only choose the pairs.
 
-    Rows that share that doc_id stay together, and so do rows of null doc_id, which nothing can name.
+    Rows are named by doc_id and text: rows that share both stay together, and so do rows of null doc_id, which nothing can name. Of two
+    rows with one doc_id and unlike texts each is judged by its own text.
     """
-    names = [f"w{k}" for k in range(words)]
     scratch = Scratch(docs.sparkSession, "dedup")
-    marks = scratch.keep(set_marks(docs, shingle, words), "marks")
-    points = scratch.keep(marks.groupBy("id", *names).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
-    links = scratch.keep(_shard_links(points.select("id", *names), wide_keys(points.count(), words, radius, recall, bits), radius, words, 64), "shards")
-    found = _classes(marks, points, _verified(docs, points, links, shingle, radius, words, least, block, scratch), names, scratch)
-    gone = scratch.keep(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    marks = scratch.keep(set_marks(docs, shingle, bands, rows), "marks")
+    # nulls come last, so that a row with a doc_id is the one that stays
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "doc")).alias("first")
+    points = scratch.keep(marks.groupBy("id", "short").agg(first, F.count("*").alias("n")), "points")
+
+    def fetch(some: DataFrame) -> DataFrame:
+        wanted = points.join(some, "short", "left_semi").select("id", F.col("first.doc").alias("doc"))
+        wanted = scratch.keep(wanted.groupBy("doc").agg(F.collect_set("id").alias("ids")), "wanted")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                made = []
+                for s, ids in zip(shingle_sets(Words([x or b"" for x in frame["text"]]), shingle), frame["ids"], strict=True):
+                    own = xxhash.xxh3_128_digest(s.tobytes())
+                    if own in set(ids):
+                        made.append((int(np.frombuffer(own, "<i8")[0]), own, s.tobytes(), set_fingerprint(s).tobytes()))
+                yield pd.DataFrame(made, columns=["short", "id", "shingles", "mark"])
+
+        rows = _doc_rows(docs).join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), "ids")
+        return map_slices(rows, run, "short long, id binary, shingles binary, mark binary", text="text").dropDuplicates(["id"])
+
+    def pair(x: np.ndarray, m: bytes, y: np.ndarray, n: bytes) -> bool:
+        near = int(BKForest.distance(np.frombuffer(m, np.uint64), np.frombuffer(n, np.uint64))) <= radius
+        return near and similar(x, y, least)
+
+    keys = marks.select("short", F.explode("key").alias("key"))
+    links = similar_links(keys, fetch, pair, lambda sets, label, of: link_sets(sets, label, of, radius, least), block, scratch)
+    joined = components(links, scratch)
+    named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
+    named = scratch.keep(named, "named")
+    groups = scratch.keep(named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1"), "groups")
+    of_point = scratch.keep(named.select("id", "root").join(groups, "root").select("id", "kept"), "of_point")
+    gone = marks.join(of_point, "id").where(F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("kept.doc_id")) | ~F.col("text_hash").eqNullSafe(F.col("kept.text_hash"))))
+    gone = scratch.keep(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_hash")), "left_anti")
