@@ -236,8 +236,9 @@ def test_trees_prune_where_vectors_gather():
     tree = topk.CoverTree(x, ids, leaf=16)
     q = topk.CoverTree(x[:60], ids[:60], leaf=16)
     best = topk.Best(60, 5)
-    leaves = sum(m is not None for m in tree.members) * sum(m is not None for m in q.members)
-    assert topk.dual_tree(q, tree, best) < leaves / 2
+    scored, pruned = topk.dual_tree(q, tree, best)
+    assert scored + pruned == 60 * 1800 and scored < 60 * 1800 / 2
+    assert len(tree.centre) > 30 and len(q.centre) >= 1
     s = x[:60] @ x.T
     s[np.arange(60), np.arange(60)] = -np.inf
     for i in range(60):
@@ -306,6 +307,21 @@ def test_salvage(zipped):
     assert records_and_gaps(b"") == ([], []) and records_and_gaps(b"nothing here")[0] == []
 
 
+def test_members_of_several_records_lose_only_bad_ones():
+    def records_and_gaps(data):  # a gap here has the bytes of a member that gave records as well
+        found = list(warc.salvage(io.BytesIO(data), len(data)))
+        return [warc._page(f["warc-record-id"]) for _, _, r, f, _ in found if r is None], [(o, n, r) for o, n, r, *_ in found if r]
+
+    made = [warc.record(i, "http://x/", f"page {i} ".encode() * 30, None) for i in range(5)]
+    hurt = [*made[:2], made[2].replace(b"page 2", b"page X", 1), *made[3:]]
+    ids, gaps = records_and_gaps(warc.member(b"".join(hurt)) + warc.member(made[0]))
+    assert ids == [0, 1, 3, 4, 0] and [g[2] for g in gaps] == ["block digest"]
+    whole = warc.member(b"".join(made))
+    ids, gaps = records_and_gaps(whole[:-12] + warc.member(made[1]))  # the first member is cut off
+    assert ids[-1] == 1 and ids[:-1] == list(range(len(ids) - 1)) and len(ids) > 3 and len(gaps) == 1
+    assert warc._whole("12") == 12 and warc._whole("x") is None and warc._whole("") is None
+
+
 # -- URL filter
 
 
@@ -344,15 +360,36 @@ def test_preference_pairs(spark):
         (0, "prompt", 0, "user", ""), (0, "chosen", 1, "assistant", "A<|end|>"), (0, "rejected", 1, "assistant", "B<|end|>"), (0, "rejected", 2, "user", ""), (1, "chosen", 0, "user", ""),
         (2, "prompt", 0, "system", ""), (2, "prompt", last, "assistant", ""), (3, "chosen", 0, "unknown", ""), (3, "chosen", 0, "user", ""), (3, "rejected", 0, "user", ""),
     ])
-    whole = {r.pair_id: r for r in preference.assemble(preference.format_pairs(preference.neighbours(df))).collect()}
-    assert whole[0].prompt == "<|user|>\nhi<|end|>\n"
-    assert [whole[0].rejected[s.start : s.end] for s in whole[0].rejected_spans] == ["B<|end|>"]
+    whole = {(r.pair_id, r.piece): r for r in preference.assemble(preference.format_pairs(preference.neighbours(df))).collect()}
+    assert whole[0, 0].prompt == "<|user|>\nhi<|end|>\n"
+    assert [whole[0, 0].rejected[s.start : s.end] for s in whole[0, 0].rejected_spans] == ["B<|end|>"]
     pairs = spark.createDataFrame([(9, 0, 1), (10, 1, 0)], "pair_id long, chosen_id long, rejected_id long")
     again = preference.format_pairs(preference.pair_up(df, pairs)).where("pair_id = 10 AND part = 'chosen'").count()
     assert again == 2
     assert preference.format_pairs(preference.neighbours(df.limit(0))).count() == 0
 
 
+def test_pairs_share_their_turns(spark):
+    turns = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"), (1, 0, "user", "x"), (1, 1, "assistant", "other"),
+        (2, 0, "user", "no reply"), (3, 0, "assistant", "c"), (4, 0, "user", "s"), (4, 1, "assistant", "same"), (5, 0, "user", "t"), (5, 7, "assistant", "same"), (None, 0, "assistant", "n"),
+    ]
+    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, piece int")
+    got = {r.pair_id: r for r in preference.assemble(preference.format_pairs(preference.other_replies(df))).collect()}
+    assert sorted(got) == [0, 1, 4, 5]
+    assert got[0].prompt == "<|user|>\nq<|end|>\n<|assistant|>\na<|end|>\n<|user|>\nmore<|end|>\n"
+    assert got[0].chosen == "<|assistant|>\nb<|end|>\n" and got[0].rejected == "<|assistant|>\nother<|end|>\n"
+    assert [got[0].rejected[s.start : s.end] for s in got[0].rejected_spans] == ["other<|end|>"]
+    assert got[4].chosen == "" and got[4].prompt.endswith("same<|end|>\n")
+
+
+def test_a_turn_of_very_many_rows(spark):
+    rows = spark.range(100_000).select(F.floor(F.col("id") / 50_000).alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    out = preference.assemble(preference.format_pairs(preference.neighbours(rows)))
+    pieces = out.select("piece", "part", F.char_length("chosen").alias("n"), F.char_length("rejected").alias("m")).collect()
+    assert len(pieces) > 50 and {r.piece for r in pieces} == {preference.LAST // preference.PIECE} and max(r.n + r.m for r in pieces) < 200_000
+
+
 # -- pipeline
 
 

@@ -29,10 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set on a local master; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -95,22 +97,23 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
         arrow = to_arrow_schema(kind)
         for frame in run(slices(batches)):
             yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+        lean()  # the worker waits for its next task without what this one took
 
     return df.mapInArrow(go, kind)
 
 
-def append_columns(df: DataFrame, added: list[T.StructField], start: Callable[[], Callable[[pa.RecordBatch], list[list]]], rows: int = SLICE) -> DataFrame:
-    """``df`` with the ``added`` columns. ``start`` is called once a task; what it returns turns a slice into their values.
-    The columns of ``df`` go through as they are."""
+def append_columns(df: DataFrame, added: list[T.StructField], start: Callable[[], Callable[[pa.RecordBatch], list[list]]], text: str = "text") -> DataFrame:
+    """``df`` with the ``added`` columns. ``start`` is called once a task; what it returns turns a slice (by the bytes of the column
+    ``text``) into their values. The columns of ``df`` go through as they are."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         make, kinds = start(), to_arrow_schema(T.StructType(added))
-        for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                part = batch.slice(k, rows)
-                made = [pa.array(values, f.type) for values, f in zip(make(part), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=pa.schema([*part.schema, *kinds]))
+        for part in by_bytes(batches, text, 1 << 21):
+            made = [pa.array(values, f.type) for values, f in zip(make(part), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], schema=pa.schema([*part.schema, *kinds]))
+        del make
+        lean()
 
     return df.mapInArrow(go, T.StructType([*df.schema.fields, *added]))
 

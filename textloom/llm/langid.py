@@ -5,8 +5,7 @@ byte a probability of each language from both states there, and a document's pro
 its bytes. It is written and trained in numpy: backpropagation through time over whole segments, Adam.
 
 Training uses a bounded sample, ``SAMPLE_DOCS`` documents a language and ``WINDOWS`` windows each, drawn by hash
-from the labelled documents that are not held out; at most ``MAX_LANGS`` (the most frequent) languages are
-learned. Two passes of the driver's query do it: counts by language, then the sample, whose expected size
+from the labelled documents that are not held out; every language that occurs is learned. Two passes of the driver's query do it: counts by language, then the sample, whose expected size
 does not follow the input. All texts are predicted whole, in blocks of segments of bounded size.
 
 Scale: prediction is a projection without shuffle; the model is a few thousand numbers in the closure.
@@ -14,14 +13,15 @@ Scale: prediction is a projection without shuffle; the model is a few thousand n
 Cases: text null, empty or without a letter: ``und``, score 0. A null lang teaches nothing. No usable
 labelled document at all: every text is ``und``. Equal probabilities: the first language in sorted order.
 A null doc_id is never held out and never learned from. Repeated rows are predicted one by one. Other columns
-are not read by ``predict``; ``lang``, ``source`` and ``doc_id`` are no input of a prediction.
+are not read by ``predict`` (whose columns get a ``_`` where the names are taken); a very long text is read whole, in blocks of segments,
+and an empty table gives an empty result. ``lang``, ``source`` and ``doc_id`` are no input of a prediction.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from textloom.llm.common import append_columns
 
@@ -29,7 +29,6 @@ SEGMENT = 64
 HIDDEN = 8
 SAMPLE_DOCS = 1500
 WINDOWS = 2
-MAX_LANGS = 64
 STEPS = 220
 BATCH = 128
 PAD = 256
@@ -181,19 +180,20 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, steps: int = STEPS, max_langs: int = MAX_LANGS) -> Network | None:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int = WINDOWS, steps: int = STEPS) -> Network | None:
     """The network, or none if no labelled document may be learned from."""
     usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = usable.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return None
-    part = F.lit(0.0)
-    for row in counts:
-        part = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 1.25 * sample_docs / row["count"]))).otherwise(part)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
+    part = F.create_map(*(F.lit(v) for row in counts for v in (row["lang"], min(1.0, 1.25 * sample_docs / row["count"]))))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part[F.col("lang")] * (1 << 30))
+    # doc_ids that repeat may be drawn more often than expected: a limit for each language, which keeps k rows of each task before the shuffle
     width = SEGMENT
     place = [F.lit(1) + F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.char_length("text") - width)).cast("int") for k in range(windows)]
-    rows = chosen.select("lang", F.array(*(F.substr("text", at, F.lit(width)) for at in place)).alias("parts")).limit(2 * sample_docs * len(counts)).collect()
+    drawn = chosen.select("lang", "doc_id", F.xxhash64("text").alias("hash"), F.array(*(F.substr("text", at, F.lit(width)) for at in place)).alias("parts"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "hash")
+    rows = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * sample_docs).select("lang", "parts").collect()
     langs = sorted(r["lang"] for r in counts)
     number = {x: k for k, x in enumerate(langs)}
     s, label = [], []

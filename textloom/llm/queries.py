@@ -38,7 +38,7 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.neighbours(read_table(spark, sf_dir, "conversations")))
+    return preference.formatted_pairs(read_table(spark, sf_dir, "conversations"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ SHINGLE, RADIUS = 3, 2
 #: Points of a shard on average, and at most before it is dealt out in blocks.
 SHARD, BLOCK = 1024, 8192
 _BATCH = 32768
+_FRONT = 1 << 18
 
 
 def shingles_of(text: str | None, size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -133,8 +134,12 @@ class BKForest:
 
     def search(self, queries: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) of all points within the radius of the queries (numbers of points), each in its own tree."""
-        out_q, out_p, q, node = [np.empty(0, np.int64)], [np.empty(0, np.int64)], queries, tree
-        while len(q):
+        out_q, out_p, stack = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [(queries, tree)]
+        while stack:
+            q, node = stack.pop()
+            if len(q) > _FRONT:  # bounded memory where a shard is dense
+                stack += [(q[_FRONT:], node[_FRONT:])]
+                q, node = q[:_FRONT], node[:_FRONT]
             point = self.at[node]
             d = self.distance(self.x[q], self.x[point])
             self.compared += len(q)
@@ -144,10 +149,12 @@ class BKForest:
             low = np.searchsorted(self.keys, node * self.span + np.maximum(d - radius, 0))
             many = np.searchsorted(self.keys, node * self.span + np.minimum(d + radius, self.span - 1), "right") - low
             q, node = np.repeat(q, many), self.trees + ranges(low, many)
+            if len(q):
+                stack.append((q, node))
         return np.concatenate(out_q), np.concatenate(out_p)
 
 
-def links_of(x: np.ndarray, shard: np.ndarray, radius: int, block: int = 4096) -> np.ndarray:
+def links_of(x: np.ndarray, shard: np.ndarray, radius: int, block: int = 512) -> np.ndarray:
     """For each point the smallest number of a point in its component of its shard (single links)."""
     forest, up = BKForest(x, shard), np.arange(len(x))
     for k in range(0, len(x), block):

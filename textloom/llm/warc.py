@@ -9,8 +9,9 @@ Salvage reader: takes member after member (or, in a plain archive, record after
 its checks: gzip CRC and length, version line, header fields, Content-Length, the closing line ends, the
 SHA-1 digests of block and payload where they are given. After a failed check it searches byte by byte for the next
 member or version line at which a whole record passes, goes on there, and logs the bytes between as a
-quarantined gap with the first failed check as reason. Memory is bounded by one record: files are read in
-pieces, whatever their size.
+quarantined gap with the first failed check as reason. Of a gzip member that holds several records each is checked by itself: a bad
+one does not cost the others, and of a member that ends too soon or fails its own check the records stay whose block digest
+is right; the member is then logged as a gap too. Files are read in pieces, whatever their size; a member is held whole.
 
 Scale: pages are joined by payload digest to the digests that occur more than once (pre-aggregated and
 written, so that AQE can split a hot digest or broadcast a small table). One task reads one archive.
@@ -18,12 +19,14 @@ written, so that AQE can split a hot digest or broadcast a small table). One tas
 Cases: a null html is an empty payload, and empty payloads are equal like others. A null url is left
 out; line ends in a url are percent-encoded. Rows that tie on the smallest page_id of a payload are all
 responses. A null page_id sorts last and is written without one; if all of a payload's ids are null, all
-are responses. Other columns of the pages are not read.
+are responses. A very long url is a long header and read whole; of a revisit without a payload length of digits the length is null. An empty
+table gives no archive and an empty result. Other columns of the pages are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -185,8 +188,8 @@ def _checked(fields: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
-def _inflate(source: Source, at: int) -> tuple[bytes, int]:
-    """The whole member at ``at`` and where it ends."""
+def _inflate(source: Source, at: int) -> tuple[bytes, int, str | None]:
+    """What can be inflated of the member at ``at``, where it ends, and what is wrong with it."""
     if source.read(at, 3) != _MAGIC:
         raise Bad("gzip magic")
     inflate, out, pos = zlib.decompressobj(31), [], at
@@ -194,31 +197,45 @@ def _inflate(source: Source, at: int) -> tuple[bytes, int]:
         while not inflate.eof:
             piece = source.read(pos, 1 << 16)
             if not piece:
-                raise Bad("truncated")
+                return b"".join(out), pos, "truncated"
+            kept = inflate.copy()
             made = inflate.decompress(piece)
             if not out and made and not b"WARC/1."[: len(made)] == made[:7]:
                 raise Bad("version line")
             out.append(made)
             pos += len(piece)
-    except zlib.error as e:
-        raise Bad("gzip check") from e
-    return b"".join(out), pos - len(inflate.unused_data)
+    except zlib.error:
+        with contextlib.suppress(zlib.error):  # what came out before the fault
+            for k in range(len(piece)):
+                out.append(kept.decompress(piece[k : k + 1]))
+        return b"".join(out), pos, "gzip check"
+    return b"".join(out), pos - len(inflate.unused_data), None
 
 
-def _at(source: Source, at: int, zipped: bool) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The checked records of the member or plain record at ``at``, and its end."""
+def _at(source: Source, at: int, zipped: bool) -> tuple[list[tuple[dict[str, str], bytes]], int, str | None]:
+    """The checked records of the member or plain record at ``at``, its end, and why others of the member were lost, if any."""
     if not zipped:
         fields, block, end = _parse(source.read, source.size, at)
-        return [(fields, _checked(fields, source.read(block, end - 4 - block)))], end
-    data, end = _inflate(source, at)
+        return [(fields, _checked(fields, source.read(block, end - 4 - block)))], end, None
+    data, end, wrong = _inflate(source, at)
     found, pos = [], 0
     while pos < len(data):
-        fields, block, stop = _parse(lambda a, n: data[a : a + n], len(data), pos)
-        found.append((fields, _checked(fields, data[block : stop - 4])))
-        pos = stop
+        try:
+            fields, block, stop = _parse(lambda a, n: data[a : a + n], len(data), pos)
+            payload = _checked(fields, data[block : stop - 4])
+            if wrong and "warc-block-digest" not in fields:
+                raise Bad(wrong)  # nothing but the member's own check could vouch for it
+        except Bad as e:
+            wrong = wrong or str(e)
+            pos = data.find(b"WARC/1.", pos + 1)
+            if pos < 0:
+                break
+        else:
+            found.append((fields, payload))
+            pos = stop
     if not found:
-        raise Bad("empty member")
-    return found, end
+        raise Bad(wrong or "empty member")
+    return found, end, wrong
 
 
 def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
@@ -231,12 +248,12 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
     mark = _MAGIC if zipped else b"WARC/1."
     while at < size:
         try:
-            found, end = _at(source, at, zipped)
+            found, end, wrong = _at(source, at, zipped)
         except Bad as e:
             reason, next_ = str(e), at
             while (next_ := source.find(mark, next_ + 1)) >= 0:
                 try:
-                    found, end = _at(source, next_, zipped)
+                    found, end, wrong = _at(source, next_, zipped)
                     break
                 except Bad:
                     continue
@@ -246,6 +263,17 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, dict[str, s
             at = next_
         for fields, payload in found:
             yield at, end - at, None, fields, payload
+        if wrong in ("truncated", "gzip check"):  # where a damaged member ends is not known: at the next one at which a record passes
+            next_ = at
+            while (next_ := source.find(mark, next_ + 1)) >= 0:
+                try:
+                    _at(source, next_, zipped)
+                    break
+                except Bad:
+                    continue
+            end = next_ if next_ >= 0 else size
+        if wrong:
+            yield at, end - at, wrong, None, None
         at = end
 
 
@@ -254,6 +282,11 @@ def _page(uri: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def _whole(x: str) -> int | None:
+    """A number of bytes, as far as the field holds one."""
+    return int(x) if re.fullmatch(r"[0-9]{1,18}", x) else None
+
+
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives that ``manifest`` (archive) names. Gaps have a ``reason``."""
     n = max(1, manifest.count())
@@ -271,7 +304,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, with_pa
                             rows.append((path, offset, size, reason, None, None, None, None, None, None, None))
                         else:
                             revisit = fields["warc-type"] == "revisit"
-                            length = int(fields.get("x-payload-length", 0)) if revisit else len(payload)
+                            length = _whole(fields.get("x-payload-length", "")) if revisit else len(payload)
                             digest = fields.get("warc-payload-digest", "sha1:")[5:] if revisit else sha1_32(payload)
                             keep = payload if with_payload and not revisit else None
                             rows.append((path, offset, size, None, fields["warc-type"], _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, digest, _page(fields.get("warc-refers-to")), keep))
