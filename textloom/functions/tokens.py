@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -119,12 +122,24 @@ class Bpe:
 
     def pieces(self, token: str) -> list[str]:
         parts = list(token)
-        while len(parts) > 1:
-            rank, i = min(((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+        ranks = self.ranks
+        # pairs by rank and place; a pair that has changed since it was noted is passed over
+        noted = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get(p)) is not None]
+        heapq.heapify(noted)
+        while noted:
+            _, i, pair = heapq.heappop(noted)
+            j = after[i] if parts[i] is not None else -1
+            if j < 0 or (parts[i], parts[j]) != pair:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b >= 0 and (r := ranks.get((parts[a], parts[b]))) is not None:
+                    heapq.heappush(noted, (r, a, (parts[a], parts[b])))
+        return [p for p in parts if p is not None]
 
     def encode(self, token: str) -> list[int]:
         return [self.ids[p] for p in self.pieces(token)]
@@ -141,8 +156,8 @@ def bpe_tokens(df: DataFrame, merges: list[tuple[str, str]], text: str = "text",
     kind = T.ArrayType(T.StringType() if strings else T.IntegerType())
 
     @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        bpe, known = Bpe(merges, limit), {}
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bpe, known = Bpe(merges, limit), {}  # once a task
         known[ENDOFTEXT] = [ENDOFTEXT] if strings else [256 + len(merges[:limit])]
 
         def one(pieces) -> list | None:
@@ -158,7 +173,8 @@ def bpe_tokens(df: DataFrame, merges: list[tuple[str, str]], text: str = "text",
                 out += known[p]
             return out
 
-        return values.map(one)
+        for values in batches:
+            yield values.map(one)
 
     pieces = F.regexp_extract_all(source, F.lit(r"<\|endoftext\|>|(?:(?!<\|endoftext\|>)(?:" + GPT2 + "))"), F.lit(0))
     return df.withColumn("tokens", run(F.transform(pieces, lambda p: F.when(p == ENDOFTEXT, p).otherwise(to_byte_level(p)))))

@@ -104,6 +104,14 @@ class Phase:
 
     name: str | None = None
     rules: list[Rule] = field(default_factory=list)
+    _scan: list = field(default_factory=list)
+
+    def scan(self) -> regex.Pattern | None:
+        """Where some rule may apply; none if a rule looks back or puts its cursor before what it made, for then results are matched again."""
+        if not self._scan:
+            free = not any(r.right or regex.search(r"\(\?<[=!]|\\[bB1-9]|\\m|\\M|\^", r.find.pattern) for r in self.rules)
+            self._scan.append(regex.compile("|".join(f"(?:{r.find.pattern})" for r in self.rules), regex.V1) if free and self.rules else None)
+        return self._scan[0]
 
 
 def _split_statements(text: str) -> list[str]:
@@ -270,13 +278,38 @@ class Transform:
                     raise ValueError(f"transform {phase.name}")
                 text = PYTHON[phase.name](text)
             else:
-                text = self._convert(phase.rules, text)
+                text = self._convert(phase, text)
         return text
 
     @staticmethod
-    def _convert(rules: list[Rule], text: str) -> str:
+    def _convert(phase: Phase, text: str) -> str:
+        rules = phase.rules
+        if (scan := phase.scan()) is not None:  # one pass over the text as it stands
+            out, at = [], 0
+            while found := scan.search(text, at):
+                out.append(text[at : found.start()])
+                at = found.start()
+                for rule in rules:
+                    m = rule.find.match(text, at)
+                    if m and (m.end(1) > at or rule.left):
+                        out.append(_made(rule.left, m))
+                        if m.end(1) > at:
+                            at = m.end(1)
+                            break
+                        # nothing was taken: the next character goes on as it is
+                        out.append(text[at : at + 1])
+                        at += 1
+                        break
+                else:
+                    out.append(text[at : at + 1])
+                    at += 1
+                if at >= len(text):
+                    break
+            return "".join([*out, text[at:]])
         at, budget = 0, 16 * len(text) + 1024
-        while at < len(text) and budget:
+        while at < len(text):
+            if not budget:
+                raise ValueError("rules that revisit their own results do not come to an end")
             budget -= 1
             for rule in rules:
                 m = rule.find.match(text, at)
@@ -295,7 +328,8 @@ class Transform:
 
         @F.pandas_udf(T.StringType())
         def run(values: pd.Series) -> pd.Series:
-            return values.map({v: self(v) for v in values.dropna().unique()})
+            made = {v: self(v) for v in values.dropna().unique()}
+            return values.map(made)
 
         return run(column)
 

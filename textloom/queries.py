@@ -305,9 +305,10 @@ def xch_translate(spark, d):
     return docs(spark, d).withColumn("text", chars.translate(F.col("text"), "abcdeé", "123"))
 
 
-@query("SELECT doc_id, upper(text) AS upper_text, lower(text) AS lower_text FROM documents WHERE NOT contains(text, 'ß')")
+# full upper-casing turns ß into SS, which DuckDB's upper does not
+@query("SELECT doc_id, upper(replace(text, 'ß', 'SS')) AS upper_text, lower(text) AS lower_text FROM documents")
 def xch_property(spark, d):
-    return docs(spark, d).where("NOT contains(text, 'ß')").select("doc_id", chars.map_property(F.col("text"), "uc").alias("upper_text"), chars.map_property(F.col("text"), "lc").alias("lower_text"))
+    return docs(spark, d).select("doc_id", chars.map_property(F.col("text"), "uc").alias("upper_text"), chars.map_property(F.col("text"), "lc").alias("lower_text"))
 
 
 @query("SELECT item_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS cps FROM benchmark")
@@ -773,9 +774,9 @@ def word_length_groups(spark, d):
     return docs(spark, d).select(F.explode(compress.word_groups(F.col("text"))).alias("g")).groupBy("g.length_group").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, upper(nfc_normalize(text)) AS text FROM documents WHERE NOT contains(text, 'ß')")
+@query("SELECT doc_id, upper(replace(nfc_normalize(text), 'ß', 'SS')) AS text FROM documents")
 def named_transforms(spark, d):
-    return docs(spark, d).where("NOT contains(text, 'ß')").withColumn("text", transforms.transform(transforms.transform(F.col("text"), "Any-NFC"), "Any-Upper"))
+    return docs(spark, d).withColumn("text", transforms.transform(transforms.transform(F.col("text"), "Any-NFC"), "Any-Upper"))
 
 
 @query("SELECT doc_id, regexp_replace(replace(replace(replace(replace(text, 'sch', 'š'), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'k([ei])', 'c\\1', 'g') AS text FROM documents")

@@ -16,8 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only without that setting a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only without that setting and on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
     return f"{base.rstrip('/')}/textloom-stream-{uuid.uuid4().hex}"
 
 
@@ -62,7 +66,7 @@ def number_pieces(pieces: DataFrame, key: str = "doc_id", order: str = "piece",
         line, depth = state.get if state.exists else (1, 0)
         rows = []
         for frame in frames:
-            for n, t in sorted(zip(frame[order], frame[text], strict=True)):
+            for n, t in sorted(zip(frame[order], frame[text], strict=True), key=lambda p: (not pd.isna(p[0]), 0 if pd.isna(p[0]) else p[0])):
                 rows.append((keys[0], n, line, depth))
                 line += (t or "").count("\n")
                 depth += (t or "").count("(") - (t or "").count(")")
