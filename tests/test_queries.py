@@ -54,3 +54,51 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).columns == ["source", "matches"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def slow_pieces(ranks, token):
+    parts = list(token)
+    while len(parts) > 1:
+        rank, i = min((ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def test_merges_are_those_of_the_lowest_rank_first():
+    import random
+
+    from textloom.functions.tokens import Bpe
+
+    r, pool, merges = random.Random(1), list("abc"), []
+    while len(merges) < 40:
+        pair = (r.choice(pool), r.choice(pool))
+        if pair not in merges:
+            merges.append(pair)
+            pool.append("".join(pair))
+    bpe = Bpe(merges)
+    for _ in range(1000):
+        token = "".join(r.choice("abc") for _ in range(r.randint(0, 30)))
+        assert bpe.pieces(token) == slow_pieces(bpe.ranks, token)
+
+
+@pytest.mark.parametrize(
+    "rules, text, want",
+    [
+        ("sch > š; ä <> ae; k } [ei] > c;", "schäke schk", "šaece šk"), ("ab > x; a > ; b } c > yy; [cd]+ > z;", "abacbcddb", "xzyyzb"),
+        ("a { b > c;", "abb", "acb"), ("a > |b; b > c;", "aab", "ccc"),
+    ],
+)
+def test_rules(rules, text, want):
+    from textloom.plans.transforms import Transform
+
+    assert Transform(rules)(text) == want
+    assert Transform(rules)(text * 20_000 if rules[:2] != "a " else text) == (want * 20_000 if rules[:2] != "a " else want)
+
+
+def test_rules_without_end_are_an_error():
+    from textloom.plans.transforms import Transform
+
+    with pytest.raises(ValueError):
+        Transform("a > |aa;")("a" * 10)
