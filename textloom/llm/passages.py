@@ -264,7 +264,10 @@ def _runs(docs: DataFrame, unit: DataFrame, found: DataFrame, scratch: Scratch)
                     made.append((doc_id, text_hash, p["line"], at[b] + RUN - at[a], p["class_doc"], p["class_para"], at[a], removed))
             yield pd.DataFrame(made, columns=["doc_id", "text_hash", "para", "n_words", "class_doc", "class_para", "start", "removed"]).astype({"doc_id": "Int64", "class_doc": "Int64"})
 
-    return scratch.keep(map_slices(spans, join, "doc_id long, text_hash long, para int, n_words long, class_doc long, class_para int, start int, removed boolean", 256), "runs")
+    runs = scratch.keep(map_slices(spans, join, "doc_id long, text_hash long, para int, n_words long, class_doc long, class_para int, start int, removed boolean", 256), "runs")
+    for table in (left, often, some, shown, both):
+        scratch.drop(table)
+    return runs
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -120,4 +120,7 @@ def similar_links(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], pair
                         yield pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]})
 
     more = map_slices(dealt.repartition("bucket").sortWithinPartitions("bucket"), judge, "a binary, b binary", text="shingles")
-    return label.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).union(scratch.keep(more, "more"))
+    more = scratch.keep(more, "more")
+    for table in (least, hits, pairs, sets, links, members):  # what is returned is written
+        scratch.drop(table)
+    return label.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
