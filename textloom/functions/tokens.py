@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions import normalize as _n
+from textloom.operators.lines import running_sums
 
 _CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
 _WS = r"\p{IsWhite_Space}"
@@ -101,13 +102,9 @@ def pretokenize(text: Column, kind: str, behaviour: str = "isolated", delimiter:
 def with_offsets(pieces: Column, unit: str = "char") -> Column:
     """(piece, start, end) for pieces that cover their text; ``unit``: char or byte."""
     size = F.char_length if unit == "char" else F.octet_length
-    zero = F.expr("named_struct('at', 0, 'made', CAST(array() AS array<struct<piece: string, start: int, end: int>>))")
-
-    def add(acc, p):
-        end = acc["at"] + size(p)
-        return F.struct(end.alias("at"), F.concat(acc["made"], F.array(F.struct(p.alias("piece"), acc["at"].alias("start"), end.alias("end")))).alias("made"))
-
-    return F.aggregate(pieces, zero, add, lambda acc: acc["made"])
+    sizes = F.transform(pieces, size)
+    spans = F.zip_with(running_sums(sizes).cast("array<int>"), sizes, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
+    return F.zip_with(pieces, spans, lambda p, s: F.struct(p.alias("piece"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 class Bpe:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_DEPTH = 15
+#: Unlike the number form of CSV fields, an exponent needs no sign.
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[Ee][-+]?[0-9]+)?"
 _STRINGS = r'"(?:[^"\\]|\\.)*"'
 
 
@@ -23,9 +25,17 @@ def depth(text: Column) -> Column:
     return F.aggregate(marks, zero, add, lambda acc: acc["most"])
 
 
+def _parses(text: Column) -> Column:
+    """Whether a text is one JSON value. The parser stops after the first value, so the text is set into two arrays: a second value of
+    its own or a bracket too many shows in one of them."""
+    before, after = (F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))) for a, b in (("[", ",0]"), ("[0,", "]")))
+    one = (F.try_variant_get(before, "$[1]", "int") == 0) & after.isNotNull() & F.try_variant_get(after, "$[2]", "string").isNull()
+    return F.coalesce(one, F.lit(False))
+
+
 def is_valid(text: Column, max_depth: int | None = MAX_DEPTH) -> Column:
     """Well-formed JSON without the noncharacters U+FFFE and U+FFFF, no deeper than ``max_depth``."""
-    ok = F.try_parse_json(text).isNotNull() & ~text.rlike(r"[\x{FFFE}\x{FFFF}]")
+    ok = _parses(text) & ~text.rlike(r"[\x{FFFE}\x{FFFF}]")
     ok = ok if max_depth is None else ok & (depth(text) <= max_depth)
     return F.when(text.isNotNull(), F.coalesce(ok, F.lit(False)))
 
@@ -46,7 +56,7 @@ def _place(texts: pd.Series) -> pd.DataFrame:
 
 def first_error(text: Column) -> Column:
     """Line, column and message of the first error; nulls if there is none. Only rows that fail reach Python."""
-    return _place(F.when(F.try_parse_json(text).isNull(), text))
+    return _place(F.when(~_parses(text), text))
 
 
 def rows_of(df: DataFrame, text: str = "text") -> DataFrame:
@@ -72,10 +82,8 @@ def escape(text: Column) -> Column:
 
 def kind(text: Column) -> Column:
     """null, true, false, number or string (object, array, or invalid beyond the flat kinds)."""
-    from textloom.operators.csvops import NUMBER
-
     t = F.trim(text)
     return (
-        F.when(t == "null", "null").when(t == "true", "true").when(t == "false", "false").when(t.rlike(f"^{NUMBER}$"), "number")
+        F.when(t == "null", "null").when(t == "true", "true").when(t == "false", "false").when(t.rlike(f"^{_NUMBER}$"), "number")
         .when(t.rlike(f"(?s)^{_STRINGS}$"), "string").when(t.startswith("{"), "object").when(t.startswith("["), "array").otherwise("invalid")
     )

@@ -5,7 +5,9 @@ Lines stay inside their row until they are needed as rows, so splitting, numberi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BREAKS = {"unix": "\n", "unicode": r"\R", "null": "\x00"}
 
@@ -30,16 +32,21 @@ def with_spans(rows: DataFrame, key: str = "doc_id", break_length: int = 1) -> D
     return rows.withColumn("line_start", start).withColumn("line_end", F.col("line_start") + F.char_length("line"))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _sums(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else np.cumsum(v, dtype=np.int64))
+
+
+def running_sums(sizes: Column) -> Column:
+    """Running sums of each row's array, linear in its length: an ``aggregate`` that grows an array copies it at each step."""
+    return _sums(sizes.cast("array<bigint>"))
+
+
 def spans_of(df: DataFrame, text: str = "text") -> DataFrame:
     """Start and end of each line within its row: no shuffle. (columns, line_no, line_start, line_end)"""
     rest = [c for c in df.columns if c != text]
-    zero = F.expr("named_struct('at', 0L, 'made', CAST(array() AS array<struct<s: bigint, e: bigint>>))")
-
-    def add(acc, line):
-        end = acc["at"] + F.char_length(line)
-        return F.struct((end + 1).alias("at"), F.concat(acc["made"], F.array(F.struct(acc["at"].alias("s"), end.alias("e")))).alias("made"))
-
-    made = F.aggregate(line_array(text), zero, add, lambda acc: acc["made"])
+    sizes = F.transform(line_array(text), lambda line: F.char_length(line) + 1)
+    made = F.zip_with(running_sums(sizes), sizes, lambda e, n: F.struct((e - n).alias("s"), (e - 1).alias("e")))
     return df.select(*rest, F.posexplode(made).alias("_at", "span")).select(*rest, (F.col("_at") + 1).cast("long").alias("line_no"), F.col("span.s").alias("line_start"), F.col("span.e").alias("line_end"))
 
 

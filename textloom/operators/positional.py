@@ -375,6 +375,20 @@ def lookup(a: Column, table: dict[int, int], otherwise: int = 0) -> Column:
     return F.coalesce(F.try_element_at(pairs, a), F.lit(otherwise))
 
 
+def lookup_ranges(a: Column, table: list[tuple[int, int, int]], otherwise: int = 0) -> Column:
+    """A constant table of (first, last, value); ranges don't overlap."""
+    out = F.lit(otherwise)
+    for first, last, value in table:
+        out = F.when(a.between(first, last), value).otherwise(out)
+    return out
+
+
+def compare(a: Column, op: str, b: Column | int, bits: int = 32) -> Column:
+    """EQ, NEQ, UGT, UGE, ULT, ULE of two integers, taken as unsigned of so many bits."""
+    x, y = (F.pmod(v if isinstance(v, Column) else F.lit(v), F.lit(1 << bits)) for v in (a, b))
+    return {"EQ": x == y, "NEQ": x != y, "UGT": x > y, "UGE": x >= y, "ULT": x < y, "ULE": x <= y}[op]
+
+
 def basis_bits(a: Column, bits: int = 8) -> Column:
     """An integer's bits, low bit first."""
     return F.array(*(F.shiftright(a, k).bitwiseAND(1) for k in range(bits)))

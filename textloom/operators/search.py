@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from textloom.operators.lines import line_array
+from textloom.operators.lines import line_array, running_sums
 from textloom.plans import regex
 
 
@@ -62,7 +62,8 @@ def _rows(text: str, p: Pattern) -> Column:
 
         plain = Pattern(p.java, "raw", invert=p.invert)
         other = line_array(normalize(F.col(text), p.equivalence), p.mode)
-        pairs = F.transform(F.arrays_zip(source.alias("a"), other.alias("b")), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x[0].alias("line"), x[1].alias("other")))
+        pairs = F.zip_with(source, other, lambda x, y: F.struct(x.alias("line"), y.alias("other")))
+        pairs = F.transform(pairs, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x["line"].alias("line"), x["other"].alias("other")))
         kept = F.filter(pairs, lambda x: ~x["other"].rlike(p.java) if plain.invert else x["other"].rlike(p.java))
         return F.transform(kept, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
     numbered = F.transform(source, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
@@ -182,14 +183,10 @@ def match_spans(column: Column | str, p: Pattern) -> Column:
     """Leftmost matches as (start, end) in code points."""
     column = F.col(column) if isinstance(column, str) else column
     found, parts = F.regexp_extract_all(column, F.lit(p.java), F.lit(0)), F.split(column, p.java, -1)
-    pieces = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("n")))
-    zero = F.expr("named_struct('at', 0, 'made', CAST(array() AS array<struct<start: int, end: int>>))")
-
-    def add(acc, x):
-        s = acc["at"] + x["gap"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(acc["made"], F.array(F.struct(s.alias("start"), (s + x["n"]).alias("end")))).alias("made"))
-
-    return F.aggregate(pieces, zero, add, lambda acc: acc["made"])
+    gaps = F.transform(F.slice(parts, F.lit(1), F.size(found)), F.char_length)
+    sizes = F.transform(found, F.char_length)
+    ends = running_sums(F.zip_with(gaps, sizes, lambda g, n: g + n)).cast("array<int>")
+    return F.zip_with(ends, sizes, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
 
 
 def not_binary(df: DataFrame, text: str = "text", policy: str = "without-match") -> DataFrame:

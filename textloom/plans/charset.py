@@ -167,6 +167,19 @@ def property_matches(prop: str, pattern: str) -> CharSet:
     return property_set(prop, lambda v: bool(find(v)))
 
 
+#: The general categories, fixed values of the Unicode standard.
+CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Cs Co Cn".split()
+
+
+def matching_class(prop: str, pattern: str) -> str:
+    """``property_matches`` as a class of a Java pattern. Categories are named, as a class of hundreds of ranges is tested range by range."""
+    if loose(prop) in ("gc", "generalcategory"):
+        found = [c for c in CATEGORIES if re.search(pattern, c, re.IGNORECASE)]
+        if found:
+            return "[" + "".join(rf"\p{{{c}}}" for c in found) + "]"
+    return property_matches(prop, pattern).java()
+
+
 def property_equals(prop: str, other: str) -> CharSet:
     """The characters with equal values of two properties; ``identity`` is the character itself."""
     f, g = value_of(prop), (lambda c: c) if loose(other) == "identity" else value_of(other)

@@ -145,6 +145,12 @@ class _Pcre:
                 out = f"(?{mark}" + self.close(self.alternatives()) + ")"
                 self.depth_look -= ahead
                 return out
+        if m := re.compile(r"<([A-Za-z][A-Za-z0-9]*)>").match(self.s, self.i):
+            self.i = m.end()
+            self.groups += 1
+            if self.depth_look > 0:
+                raise UnsupportedPattern("capture inside a look-ahead")
+            return f"(?<{m[1]}>" + self.close(self.alternatives()) + ")"
         if m := re.compile(r"([igKmxd]*)(-[igKmxd]+)?([:)])").match(self.s, self.i):
             self.i = m.end()
             on, off = m[1], (m[2] or "-")[1:]
@@ -193,7 +199,7 @@ class _Pcre:
         if value is None:
             out = charset.property_class(name.strip())
         elif len(value) > 1 and value[0] == value[-1] == "/":
-            out = charset.property_matches(name, value[1:-1]).java()
+            out = charset.matching_class(name, value[1:-1])
         elif len(value) > 1 and value[0] == value[-1] == "@":
             out = charset.property_equals(name, value[1:-1]).java()
         elif value.startswith("\\"):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textloom.functions import chars, compress, normalize, tokens
 from textloom.operators import approx, audio, counts, csvops, jsonops, lines, positional as P, search, xmlops
 from textloom.operators.search import Pattern
-from textloom.plans import program, transforms
+from textloom.plans import charset, program, transforms
 from textloom.sources import files
 from textloom.streaming import streams
 
@@ -829,3 +829,289 @@ def stream_counts(spark, d):
 def stream_pieces(spark, d):
     s = streams.read_table_stream(spark, f"{d}/conversations.parquet").select("conv_id", F.col("turn").alias("piece"), "text")
     return streams.drain(streams.number_pieces(s, "conv_id"))
+
+
+# -- pattern constructs, against their plain form
+
+_W = r"\pL\pM\p{Nd}\p{Pc}"
+
+
+def _grep_sql(condition: str) -> str:
+    return _lines_sql(f"SELECT doc_id, line_no, line FROM l WHERE {condition}")
+
+
+SQL["grep_lookaround"] = _grep_sql(rf"regexp_matches(line, '[{_W}]{{3}}ing (?:$|t$|th$|[^t]|t[^h]|th[^e])')")
+SQL["grep_backreference"] = _lines_sql(
+    "SELECT doc_id, line_no, line FROM l WHERE list_has_any(regexp_extract_all(line, 'WORD{6,}'), (SELECT coalesce(list(w), []) FROM g))".replace("WORD", f"[{_W}]"),
+    f""", w AS (SELECT DISTINCT unnest(regexp_extract_all(line, '[{_W}]{{6,}}')) AS w FROM l),
+     g AS (SELECT w FROM w WHERE len(list_filter(generate_series(3, length(w) // 2), lambda k: len(list_filter(generate_series(1, length(w) - 2 * k + 1),
+           lambda i: substr(w, i, k) = substr(w, i + k, k))) > 0)) > 0)""",
+)
+SQL["grep_count_all"] = "SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, 'e[a-z]*'), lambda m: length(m))), 0) AS BIGINT) AS matches FROM documents"
+
+
+@query(_grep_sql(rf"regexp_matches(line, '(?:^|[^{_W}])th[{_W}]')"))
+def grep_boundary(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\bth\B"))
+
+
+@query(_grep_sql(rf"regexp_matches(line, '(?:^|[^{_W}])in(?:[^{_W}]|$)')"))
+def grep_word_edges(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\<in\>"))
+
+
+@query(_grep_sql("regexp_matches(line, 'An|Th|er |é')"))
+def grep_escapes(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\x41\x{6E}|Th|e\o{162}\040|\U000000E9"))
+
+
+@query(_grep_sql("regexp_matches(line, '(?i:the) [a-z]+|X')"))
+def grep_mode_flags(spark, d):
+    return search.grep(docs(spark, d), Pattern("(?i:the)(?#a comment) (?-i:[a-z]+)|(?|X|Xy)"))
+
+
+@query(_grep_sql("regexp_matches(line, '(?:an|a)d ')"))
+def grep_possessive(spark, d):
+    return search.grep(docs(spark, d), Pattern("[0-9]++[0-9]|(?>an|a)d "))
+
+
+@query(_grep_sql("regexp_matches(line, 't.*g {1,2}o')"))
+def grep_lazy(spark, d):
+    return search.grep(docs(spark, d), Pattern("t.*?g {1,2}?o"))
+
+
+@query(_grep_sql("regexp_matches(line, '[éè]')"))
+def grep_character_names(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\N{LATIN SMALL LETTER E WITH (ACUTE|GRAVE)}"))
+
+
+@query(_grep_sql(r"regexp_matches(line, '[\p{Nd}\p{Lu}]{2}')"))
+def grep_property_values(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\p{gc=/^(Nd|Lu)$/}{2}"))
+
+
+@query(_grep_sql(r"regexp_matches(line, '[\p{Nd}\p{Lu}][b-df-hj-np-tv-z]{2}')"))
+def grep_posix_classes(spark, d):
+    return search.grep(docs(spark, d), Pattern("[[:digit:][:upper:]][[a-z]--[aeiou]]{2}"))
+
+
+@query(_grep_sql("length(line) BETWEEN 1 AND 60"))
+def grep_graphemes(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"^\X{1,60}$"))
+
+
+@query(_grep_sql("regexp_matches(line, '(?:abc|acb|cab)|(?:der|dre|rde)')"))
+def grep_interleaved(spark, d):
+    return search.grep(docs(spark, d), Pattern(r"\A{a<b|c}|\A{d<e|r}"))
+
+
+@query(_grep_sql("regexp_matches(nfc_normalize(line), 'é[a-z]')"))
+def grep_equivalence(spark, d):
+    return search.grep(docs(spark, d), Pattern("é[a-z]", equivalence="NFC"))
+
+
+@query(_lines_sql("SELECT count(*) > 0 AS found, false AS other FROM l WHERE regexp_matches(line, 'th[a-z]+ing')"))
+def grep_quiet(spark, d):
+    made = search.quiet(docs(spark, d), Pattern("th[a-z]+ing")), search.quiet(docs(spark, d), Pattern("\x01\x02", "fixed"))
+    return spark.createDataFrame([made], "found boolean, other boolean")
+
+
+@query(_lines_sql("SELECT doc_id, line_no, regexp_replace(line, '([a-z]+)(tion|ment)', '\\2-\\1' || chr(9), 'g') AS line FROM l WHERE regexp_matches(line, '[a-z]+(?:tion|ment)')"))
+def grep_replace_names(spark, d):
+    return search.replace(docs(spark, d), Pattern("(?<stem>[a-z]+)(?<end>tion|ment)"), r"${end}\x2D${stem}\t")
+
+
+# -- more positions
+
+
+@query(_POS + "SELECT item_id, pos, cp = 101 AS eq, cp <> 101 AS ne, cp > 101 AS gt, cp >= 101 AS ge, cp < 101 AS lt, cp <= 101 AS le, cp % 16 < pos % 16 AS below FROM p")
+def number_compare(spark, d):
+    c = F.col("cp")
+    tests = {n: P.compare(c, op, 101).alias(n) for n, op in (("eq", "EQ"), ("ne", "NEQ"), ("gt", "UGT"), ("ge", "UGE"), ("lt", "ULT"), ("le", "ULE"))}
+    return _pos(spark, d).select("item_id", "pos", *tests.values(), P.compare(c, "ULT", F.col("pos"), 4).alias("below"))
+
+
+@query(_POS + "SELECT item_id, pos, CASE WHEN cp BETWEEN 48 AND 57 THEN 1 WHEN cp BETWEEN 65 AND 90 THEN 2 WHEN cp BETWEEN 97 AND 122 THEN 3 ELSE 0 END AS code, cp // 8 AS high, cp % 8 AS low FROM p")
+def range_table(spark, d):
+    c = F.col("cp")
+    return _pos(spark, d).select("item_id", "pos", P.lookup_ranges(c, [(48, 57, 1), (65, 90, 2), (97, 122, 3)]).alias("code"), P.high_bits(c, 3).alias("high"), P.truncate(c, 3).alias("low"))
+
+
+@query(_POS + "SELECT item_id, pos FROM p WHERE a")
+def marked_positions(spark, d):
+    return P.marked(_pos(spark, d), "a").select("item_id", "pos")
+
+
+@query(_POS + "SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS INTEGER) AS pos, ch FROM p WHERE v AND a")
+def combined_filters(spark, d):
+    p = P.combined_mask(_pos(spark, d), "v", "a", "both")
+    return P.filter_by_mask(p, "both").select("item_id", "pos", "ch")
+
+
+@query("SELECT item_id, CAST(unnest(generate_series(0, length(text))) AS INTEGER) AS pos, length(text) = unnest(generate_series(0, length(text))) AS last FROM benchmark")
+def eof_marks(spark, d):
+    return _pos(spark, d, eof=True).select("item_id", "pos", P.at_eof().alias("last"))
+
+
+@query(_POS + ", s AS (SELECT item_id, pos, ch = '.' AS x, CAST(1 + coalesce(sum(CASE WHEN ch = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no FROM p) SELECT item_id, line_no, true AS matched FROM s WHERE x GROUP BY ALL")
+def matched_records(spark, d):
+    p = _pos(spark, d).withColumns({"b": F.col("ch") == "\n", "x": F.col("ch") == "."})
+    return P.matched_records(p.withColumn("line_no", P.line_numbers("b")), "x", "line_no")
+
+
+@query(_POS + "SELECT item_id, pos, EXISTS (SELECT 1 FROM p y WHERE y.item_id = p.item_id AND y.a AND y.pos <= p.pos AND p.pos < y.pos + y.cp % 5) AS m FROM p")
+def span_cover(spark, d):
+    return P.cover(_pos(spark, d).withColumn("n", F.col("cp") % 5), "a", "n", "m").select("item_id", "pos", "m")
+
+
+@query(_POS + "SELECT item_id, string_agg(CASE WHEN v THEN '1' ELSE '.' END, '' ORDER BY pos) AS v, string_agg(CASE WHEN a THEN '1' ELSE '.' END, '' ORDER BY pos) AS a FROM p GROUP BY item_id")
+def shown_streams(spark, d):
+    return files.show_positions(_pos(spark, d), ["v", "a"]).select("item_id", "v", "a")
+
+
+@query(_POS + "SELECT item_id, pos, v OR sp AS any_of, v AND a AS all_of, v <> a AS one_of, CASE WHEN v THEN a ELSE sp END AS chosen FROM p")
+def stream_sets(spark, d):
+    made = P.union_streams("v", "sp").alias("any_of"), P.intersect_streams("v", "a").alias("all_of"), P.xor(F.col("v"), F.col("a")).alias("one_of"), P.select_by(F.col("v"), F.col("a"), F.col("sp")).alias("chosen")
+    return _pos(spark, d).select("item_id", "pos", *made)
+
+
+# -- more characters and normal forms
+
+
+@query("SELECT doc_id, strlen(text) AS first_error FROM documents")
+def utf8_first_error(spark, d):
+    broken = F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff"), F.encode("text", "UTF-8"))
+    return docs(spark, d).select("doc_id", chars.first_utf8_error(broken).cast("long").alias("first_error"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def utf32_round_trip(spark, d):
+    return docs(spark, d).select("doc_id", chars.from_utf32(F.encode("text", "UTF-32")).alias("text"))
+
+
+@query("SELECT n_nationkey, chr(1040 + n_nationkey) || chr(1024 + 32 + n_nationkey) AS text FROM nation")
+def iso8859_5(spark, d):
+    data = F.concat(F.unhex(F.hex(F.col("n_nationkey").cast("long") + 0xB0)), F.unhex(F.hex(F.col("n_nationkey").cast("long") + 0xC0)))
+    return table(spark, d, "nation").select("n_nationkey", F.decode(chars.iso8859_5_to_utf16(data), "UTF-16BE").alias("text"))
+
+
+_SYLLABLE = "44032 + n_nationkey * 447"
+
+
+@query(f"SELECT n_nationkey, chr(4352 + (n_nationkey * 447) // 588) || chr(4449 + (n_nationkey * 447) % 588 // 28) || CASE WHEN (n_nationkey * 447) % 28 = 0 THEN '' ELSE chr(4519 + (n_nationkey * 447) % 28) END AS jamo, chr({_SYLLABLE}) AS again FROM nation")
+def hangul(spark, d):
+    syllable = F.decode(F.unhex(F.lpad(F.hex(F.expr(f"CAST({_SYLLABLE} AS BIGINT)")), 8, "0")), "UTF-32")
+    t = table(spark, d, "nation").select("n_nationkey", normalize.hangul_decompose(syllable).alias("jamo"))
+    return t.select("n_nationkey", "jamo", normalize.hangul_compose(F.col("jamo")).alias("again"))
+
+
+@query("SELECT doc_id, [CAST(length(text) AS INTEGER) + 2] AS failures FROM documents")
+def fcd_check(spark, d):
+    return docs(spark, d).select("doc_id", normalize.fcd_failures(F.concat("text", F.lit("ẹ́"))).alias("failures"))
+
+
+@query("SELECT doc_id, replace(text, 'é', 'e' || chr(769)) AS text FROM documents")
+def nfd_masked(spark, d):
+    return docs(spark, d).withColumn("text", normalize.normalize_where(F.col("text"), "NFD", charset.CharSet([(0xE9, 0xE9)])))
+
+
+# -- more tokens
+
+
+_SPACES = r"[ \x{9}-\x{D}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{{1}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{9F}}\x{{FFFD}}\p{{Cf}}\p{{Co}}]', '', 'g'), '{_SPACES}', ' ', 'g') AS clean, regexp_replace(text || '中文a', '([\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}])', ' \1 ', 'g') AS spaced FROM documents")
+def normalizer_bert(spark, d):
+    return docs(spark, d).select("doc_id", tokens.normalize(F.col("text"), "bertcleantext").alias("clean"), tokens.normalize(F.concat("text", F.lit("中文a")), "bertchinesechars").alias("spaced"))
+
+
+_OFFSETS = rf"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[{_W}]+|[^{_W}]+') AS p FROM documents), b AS (SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS i FROM a)
+SELECT doc_id, piece, CAST(sum(SIZE(piece)) OVER w - SIZE(piece) AS INTEGER) AS span_start, CAST(sum(SIZE(piece)) OVER w AS INTEGER) AS span_end FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+
+def _offsets(spark, d, unit):
+    pieces = tokens.pretokenize(F.col("text"), "simplewordboundaries")
+    return docs(spark, d).select("doc_id", F.explode(tokens.with_offsets(pieces, unit)).alias("p")).select("doc_id", "p.piece", F.col("p.start").alias("span_start"), F.col("p.end").alias("span_end"))
+
+
+@query(_OFFSETS.replace("SIZE", "length"))
+def token_offsets(spark, d):
+    return _offsets(spark, d, "char")
+
+
+@query(_OFFSETS.replace("SIZE", "strlen"))
+def token_byte_offsets(spark, d):
+    return _offsets(spark, d, "byte")
+
+
+@query(r"SELECT item_id, array_to_string(regexp_extract_all(text, '(?s)[!-/:-@\[-`{-~\pP][^!-/:-@\[-`{-~\pP]*|[^!-/:-@\[-`{-~\pP]+'), '|') AS next, array_to_string(regexp_extract_all(text, '(?s)[!-/:-@\[-`{-~\pP]|[^!-/:-@\[-`{-~\pP\s]+'), '|') AS bare FROM benchmark")
+def split_behaviours_more(spark, d):
+    made = {n: F.array_join(tokens.pretokenize(F.col("text"), "punctuation", b), "|") for n, b in (("next", "mergedwithnext"), ("bare", "excludewhitespace"))}
+    return table(spark, d, "benchmark").select("item_id", *(c.alias(n) for n, c in made.items()))
+
+
+# -- more JSON, audio, transforms, files and streams
+
+
+@query("SELECT event_id, 1 AS line, CAST(length(props) + 2 AS INTEGER) AS \"column\", 'Extra data' AS message FROM events")
+def json_first_error(spark, d):
+    broken = F.concat("props", F.lit(" ]"))
+    return table(spark, d, "events", "event_id", "props").select("event_id", jsonops.first_error(broken).alias("e")).select("event_id", "e.*")
+
+
+@query("SELECT event_id, ['null', 'true', 'number', 'string', 'object', 'array', 'invalid'][event_id % 7 + 1] AS kind FROM events")
+def json_kinds(spark, d):
+    made = F.array(*map(F.lit, ("null", " true ", "-1.5e3", '"a\\"b"')), F.col("props"), F.lit("[1]"), F.lit("nul"))
+    return table(spark, d, "events", "event_id", "props").select("event_id", jsonops.kind(F.element_at(made, (F.col("event_id") % 7 + 1).cast("int"))).alias("kind"))
+
+
+@query("SELECT n_nationkey, CAST(1 + n_regionkey % 2 AS BIGINT) AS channels, CAST(8000 AS BIGINT) AS sample_rate, CAST(16 AS BIGINT) AS bits, CAST(4 AS BIGINT) AS data_bytes, [CAST(n_nationkey AS BIGINT), -2] AS samples FROM nation")
+def wav_files(spark, d):
+    byte = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
+    head = (
+        F.lit(b"RIFF".hex() + "28000000" + b"WAVEfmt ".hex() + "10000000" + "0100"), byte(1 + F.col("n_regionkey") % 2), F.lit("00" + "401f0000" + "007d0000" + "0400" + "1000" + b"data".hex() + "04000000"),
+        byte(F.col("n_nationkey")), F.lit("00" + "feff"),
+    )
+    t = audio.wav_header(table(spark, d, "nation").withColumn("content", F.unhex(F.concat(*head))))
+    return t.select("n_nationkey", "channels", "sample_rate", "bits", "data_bytes", audio.wav_samples(F.col("content")).alias("samples"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, 'ae', 'ä'), 'oe', 'ö'), 'ue', 'ü') AS text FROM documents")
+def rule_inverse(spark, d):
+    return docs(spark, d).withColumn("text", transforms.Transform("sch > š; ä <> ae; ö <> oe; ü <> ue;", inverse=True).column(F.col("text")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN true WHEN p_partkey % 2 = 0 THEN substr(CAST(p_partkey AS VARCHAR), 1, 1) <> '1' ELSE false END AS ignored FROM part")
+def ignore_files(spark, d):
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("a/b"), (key % 3).cast("string"), F.lit("/f"), key.cast("string"), F.when(key % 2 == 0, ".o").otherwise(".c"))
+    rules = {"": ["# objects", "*.o", "!f1*.o", "/a/b2/"]}
+    return table(spark, d, "part", "p_partkey").select("p_partkey", files.ignored(path, rules).alias("ignored"))
+
+
+@query("SELECT * FROM (VALUES (0, 'one'), (1, 'two')) AS t(doc_id, text)")
+def memory_source(spark, d):
+    return files.from_memory(spark, ["one", "two"]).select(F.col("doc_id").cast("int").alias("doc_id"), "text")
+
+
+@query(_lines_sql("SELECT line, count(*) AS n FROM l GROUP BY line"))
+def written_lines(spark, d):
+    folder = streams.shared_folder(spark)
+    files.write_lines(lines.lines(docs(spark, d)), folder)
+    return files.read_lines(spark, folder).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS label FROM part")
+def written_csv(spark, d):
+    folder = streams.shared_folder(spark)
+    t = table(spark, d, "part", "p_partkey", "p_name", "p_brand")
+    files.write_csv(t.select(F.col("p_partkey").cast("string").alias("p_partkey"), F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("label")), folder)
+    return files.read_csv(spark, folder).select(F.col("p_partkey").cast("long").alias("p_partkey"), "label")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    s = streams.read_table_stream(spark, f"{d}/events.parquet").select("ts", "event_type")
+    made = streams.drain(streams.windowed_counts(s, "ts", "1 hour", "1 day", "event_type"), "complete")
+    return made.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -78,6 +78,6 @@ def number_pieces(pieces: DataFrame, key: str = "doc_id", order: str = "piece",
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "1 day", *keys: str) -> DataFrame:
-    """Counts by window with a watermark."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, width), *keys).count()
+    """Counts by window with a watermark; times without a zone are of the session's."""
+    grouped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), *keys).count()
     return grouped.select(F.col("window.start").alias("start"), *keys, F.col("count").alias("n"))
