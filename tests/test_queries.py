@@ -102,3 +102,34 @@ def test_rules_without_end_are_an_error():
 
     with pytest.raises(ValueError):
         Transform("a > |aa;")("a" * 10)
+
+
+def test_json_is_one_value(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import jsonops
+
+    def good(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    texts = ["1", " null ", "[]", '{"a":[1]}', '"]"', "", " ", "1,2", "1,0", "1,0]", "1]", "[1] ]", "]", "0,0", '1,"0"', "1,null", "1,0,null", "{} {}", "nul", '{"a":1} x']
+    df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string")
+    got = {r.t: r.ok for r in df.select("t", jsonops.is_valid(F.col("t")).alias("ok")).collect()}
+    assert got == {**{t: good(t) for t in texts}, None: None}
+
+
+def test_named_groups_and_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators.lines import running_sums
+    from textloom.plans import regex
+
+    assert regex.pcre("(?<a>x)(?<=y)") == "(?<a>x)(?<=y)"
+    df = spark.createDataFrame([([1, 2, 3],), ([],), (None,)], "n array<int>")
+    assert [r.s for r in df.select(running_sums(F.col("n")).alias("s")).collect()] == [[1, 3, 6], [], None]
