@@ -4,13 +4,14 @@ import base64
 import hashlib
 import io
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import passages, preference, simhash, topk, urlfilter, warc
+from textloom.llm import bloom, passages, preference, simhash, topk, urlfilter, warc
 from textloom.llm.common import Scratch
 from textloom.llm.components import components
 
@@ -131,6 +132,48 @@ def test_blocks_of_candidates_lose_no_link(spark, block):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+# -- joins that move no text without need
+
+
+def moved(spark):
+    """Bytes written to shuffles so far."""
+    time.sleep(0.3)
+    spark.range(1).collect()  # the store of figures is brought up to date with a later task
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+@pytest.mark.parametrize("remove", [simhash.deduplicate, passages.remove_passages])
+def test_texts_without_copies_are_not_moved(spark, tmp_path, remove):
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in random.integers(0, 1 << 62, 600).tolist()) for _ in range(300)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([*enumerate(texts), (300, texts[0]), (301, texts[7])], "doc_id long, text string").write.parquet(path)
+    before, threshold = moved(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on larger tables
+    try:
+        kept = remove(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.doc_id for r in kept) == list(range(300)) and {r.text for r in kept} == set(texts)
+    assert moved(spark) - before < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("most", [1, 1 << 18])
+def test_rows_with_a_partner_pass(spark, tmp_path, most):
+    path = str(tmp_path / "keys")
+    spark.range(0, 9000, 3).write.parquet(path)
+    rows = spark.range(9000).select(F.lit("x").alias("block"), "id", F.lit(None).cast("long").alias("m0"))
+    some, others = bloom.split(rows, F.col("id"), spark.read.parquet(path), Scratch(spark, "t"), most)
+    got, rest = [r.id for r in some.collect()], [r.id for r in others.collect()]
+    assert some.columns == others.columns == rows.columns
+    assert sorted(got + rest) == list(range(9000)) and set(range(0, 9000, 3)) <= set(got)
+    assert most == 1 or len(got) < 3100
+    assert bloom.possible(rows, F.col("id"), spark.read.parquet(path).limit(0), Scratch(spark, "t"), most).count() == 0
+
+
 # -- passages
 
 

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textloom.llm.common import Scratch, lean, map_slices
+from textloom.llm.bloom import possible, split, tested
+from textloom.llm.common import Scratch, append_columns, lean, map_slices
 from textloom.llm.components import components
 from textloom.llm.sets import link, ranges, signatures, similar, similar_links
 from textloom.llm.words import Words, binaries, by_bytes, mix, range_hashes, shingles
@@ -143,8 +144,8 @@ def units(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     return _doc_rows(docs).mapInArrow(run, kind)
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(short, id, shingles) of the paragraphs that ``wanted`` (doc, places: array of (start, words, id)) names."""
+def _fetched(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(short, id, shingles) of the paragraphs that ``wanted`` (doc, places: array of (start, words, id)) names, each id of one place."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -159,16 +160,17 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         sets.append(shingle_set(own).tobytes())
             yield pd.DataFrame({"short": np.frombuffer(b"".join(ids), "<i8")[::2], "id": ids, "shingles": sets})
 
-    joined = _doc_rows(docs).join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), "places")
-    return map_slices(joined, run, "short long, id binary, shingles binary", text="text")
+    joined = possible(_doc_rows(docs), F.col("doc"), wanted, scratch).join(wanted, "doc").dropDuplicates(["doc", "text"])
+    return map_slices(joined.select(F.col("text").cast("binary").alias("text"), "places"), run, "short long, id binary, shingles binary", text="text")
 
 
 def _links(docs: DataFrame, unit: DataFrame, points: DataFrame, similarity: float, block: int, scratch: Scratch) -> DataFrame:
     """(a, b): links of similar paragraphs (ids) that span the components of similarity."""
 
     def fetch(some: DataFrame) -> DataFrame:
-        wanted = points.join(some, "short", "left_semi").groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.words", "id")).alias("places"))
-        return _fetched(docs, scratch.keep(wanted, "wanted")).dropDuplicates(["id"]).withColumn("mark", F.lit(None).cast("binary"))
+        wanted = possible(points, F.col("short"), some, scratch).join(some, "short", "left_semi")
+        wanted = wanted.groupBy("first.doc").agg(F.collect_list(F.struct("first.start", "first.words", "id")).alias("places"))
+        return _fetched(docs, scratch.keep(wanted, "wanted"), scratch).withColumn("mark", F.lit(None).cast("binary"))
 
     keys = unit.select(F.explode(F.arrays_zip("short", "band")).alias("p")).select("p.short", F.explode("p.band").alias("key"))
     return similar_links(keys, fetch, lambda x, _, y, __: similar(x, y, similarity), lambda sets, label, _: link(sets, label, similarity), block, scratch)
@@ -181,12 +183,15 @@ def _classes(docs: DataFrame, unit: DataFrame, similarity: float, block: int, sc
     first = F.min(F.struct("doc_id", "start", "text_hash", "doc", "line", "words")).alias("first")
     points = scratch.keep(places.groupBy("id", "short").agg(first, F.count("*").alias("n")), "points")
     joined = components(_links(docs, unit, points, similarity, block, scratch), scratch)
-    named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
+    joined = scratch.keep(joined.withColumnRenamed("node", "id"), "joined")
+    # a point of one place that nothing links is no class
+    some = tested(points, F.col("id"), joined, scratch).where("_possible OR n > 1").drop("_possible")
+    named = some.join(joined, "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
     groups = scratch.keep(named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1"), "groups")
     of_point = scratch.keep(named.select("id", "root").join(groups, "root").select("id", "kept"), "of_point")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    return places.join(of_point, "id").select(
+    return possible(places, F.col("id"), of_point, scratch).join(of_point, "id").select(
         "doc_id", "text_hash", "doc", F.col("line").alias("para"), "start", F.col("words").cast("long").alias("n_words"),
         F.col("kept.doc_id").alias("class_doc"), F.col("kept.line").alias("class_para"), (~stays).alias("removed"),
     )
@@ -216,11 +221,12 @@ def _runs(docs: DataFrame, unit: DataFrame, found: DataFrame, scratch: Scratch)
                 places.append(at[free])
             yield pd.DataFrame({"doc": frame["doc"], "gram": grams, "at": places})
 
-    left = unit.select("doc", "gram", "at").where(F.size("at") > 0).join(gone, "doc", "left")
+    cut_short, whole = split(unit.select("doc", "gram", "at").where(F.size("at") > 0), F.col("doc"), gone, scratch)
+    left = cut_short.join(gone, "doc", "left").unionByName(whole, allowMissingColumns=True)
     left = scratch.keep(map_slices(left, leave, "doc long, gram array<long>, at array<int>", 256).where(F.size("at") > 0), "left")
     grams = left.select("doc", F.explode(F.arrays_zip("gram", "at")).alias("g")).select("doc", "g.gram", "g.at")
     often = scratch.keep(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
-    some = grams.join(often, "gram").groupBy("doc").agg(F.collect_set("at").alias("at"))
+    some = possible(grams, F.col("gram"), often, scratch).join(often, "gram").groupBy("doc").agg(F.collect_set("at").alias("at"))
     some = scratch.keep(some.join(gone, "doc", "left"), "repeat")
 
     def show(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,13 +249,14 @@ def _runs(docs: DataFrame, unit: DataFrame, found: DataFrame, scratch: Scratch)
             cut = lambda x: [x[a:b] for a, b in zip(parts[:-1], parts[1:], strict=True)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "h": cut(two[0]), "i": cut(two[1]), "at": cut(at), "line": cut(line)})
 
-    rows = _doc_rows(docs).join(some, "doc").select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"), "at", "gone")
+    rows = possible(_doc_rows(docs), F.col("doc"), some, scratch).join(some, "doc").select("doc_id", "text_hash", F.col("text").cast("binary").alias("text"), "at", "gone")
     shown = map_slices(rows, show, "doc_id long, text_hash long, h array<long>, i array<long>, at array<int>, line array<int>", text="text")
     shown = scratch.keep(shown.where(F.size("at") > 0), "windows")
     windows = shown.select("doc_id", "text_hash", F.explode(F.arrays_zip("h", "i", "at", "line")).alias("w")).select("doc_id", "text_hash", "w.*")
     place = F.struct("doc_id", "text_hash", "at", "line")
     firsts = windows.groupBy("h", "i").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "i", "first")
-    both = scratch.keep(windows.join(scratch.keep(firsts, "firsts"), ["h", "i"]), "both")
+    firsts = scratch.keep(firsts, "firsts")
+    both = scratch.keep(possible(windows, F.col("h"), firsts, scratch).join(firsts, ["h", "i"]), "both")
     later = both.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "at", "line", F.col("first.doc_id").alias("class_doc"), F.col("first.line").alias("class_para"), F.lit(True).alias("removed"))
     kept = both.select("first.*").distinct().select("doc_id", "text_hash", "at", "line", F.col("doc_id").alias("class_doc"), F.col("line").alias("class_para"), F.lit(False).alias("removed"))
     spans = later.union(kept).groupBy("doc_id", "text_hash", "removed").agg(F.array_sort(F.collect_set(F.struct("at", "line", "class_doc", "class_para"))).alias("places"))
@@ -322,13 +329,18 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     text = F.col("text").cast("string")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_passages_doc")) & (F.xxhash64(text) == F.col("_passages_hash"))
 
-    @F.pandas_udf("string")
-    def cut_all(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else cut(t, [(y["start"], y["start"] + y["n_words"]) for y in x]) for t, x in zip(texts, gone, strict=True)], dtype=object)
+    def start():
+        def left(batch: pa.RecordBatch) -> list[list]:
+            rows = zip(binaries(batch.column("text")), batch.column("_passages_gone").to_pylist(), strict=True)
+            return [[None if x is None else cut(t.decode("utf-8", "surrogatepass"), [(y["start"], y["start"] + y["n_words"]) for y in x]) for t, x in rows]]
 
-    joined = docs.join(gone, on, "left")
+        return left
+
+    names = scratch.keep(gone.select(F.xxhash64("_passages_doc", "_passages_hash")), "names")
+    some, others = split(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)), names, scratch)
+    joined = some.join(gone, on, "left").withColumn("text", text)
     touched = F.col("_passages_gone").isNotNull()
-    joined = joined.withColumn("_passages_left", cut_all(F.when(touched, text), "_passages_gone"))
+    joined = append_columns(joined, [T.StructField("_passages_left", T.StringType())], start)
     joined = joined.where(~touched | F.col("_passages_left").rlike(r"\S"))
     now = {"text": F.when(touched, F.col("_passages_left")).otherwise(text), "n_chars": F.when(touched, F.char_length("_passages_left")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return joined.select(*((now[c].cast(docs.schema[c].dataType) if c in now else F.col(c)).alias(c) for c in docs.columns))
+    return joined.select(*((now[c].cast(docs.schema[c].dataType) if c in now else F.col(c)).alias(c) for c in docs.columns)).union(others)

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from textloom.llm.bloom import possible
 from textloom.llm.common import Scratch, map_slices
 from textloom.llm.components import components, whole_runs
 from textloom.llm.words import mix
@@ -75,12 +76,14 @@ Compare = Callable[[list[np.ndarray], np.ndarray, list[bytes]], list[tuple[int,
 
 def similar_links(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], pair: Callable[..., bool], compare: Compare, block: int, scratch: Scratch) -> DataFrame:
     """(a, b): links that span the components of similar points. ``keys``: (short, key), where ``short`` is a part of a point's id;
-    ``fetch`` gives (short, id, shingles, mark) of some (short), an id once. ``pair`` judges two (set, mark), ``compare`` a bucket."""
+    ``fetch`` gives (short, id, shingles, mark) of some (short, a written table), an id once. ``pair`` judges two (set, mark), ``compare`` a bucket."""
     least = keys.groupBy("key").agg(F.min("short").alias("centre"), F.max("short").alias("top")).where("centre <> top").select("key", "centre")
     least = scratch.keep(least, "least")
-    hits = scratch.keep(keys.join(least, "key").select("key", "short", "centre").distinct(), "hits")
+    met = possible(keys, F.col("key"), least, scratch).join(least, "key")
+    hits = scratch.keep(met.select("key", "short", "centre").distinct(), "hits")
     pairs = scratch.keep(hits.where("short <> centre").select("short", "centre").distinct(), "pairs")
-    sets = scratch.keep(fetch(pairs.select("short").union(pairs.select("centre")).distinct()), "sets")
+    some = scratch.keep(pairs.select("short").union(pairs.select("centre")).distinct(), "some")
+    sets = scratch.keep(fetch(some), "sets")
     met = pairs.join(sets, "short").select("centre", F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("mark").alias("m"))
     met = met.join(sets.select(F.col("short").alias("centre"), F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("mark").alias("n")), "centre").drop("centre")
 
@@ -121,6 +124,6 @@ def similar_links(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], pair
 
     more = map_slices(dealt.repartition("bucket").sortWithinPartitions("bucket"), judge, "a binary, b binary", text="shingles")
     more = scratch.keep(more, "more")
-    for table in (least, hits, pairs, sets, links, members):  # what is returned is written
+    for table in (least, hits, pairs, some, sets, links, members):  # what is returned is written
         scratch.drop(table)
     return label.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)

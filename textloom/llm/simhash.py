@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.llm.bloom import possible, split, tested
 from textloom.llm.common import Scratch, lean, map_slices
 from textloom.llm.components import components, roots, whole_runs
 from textloom.llm.sets import ranges, signatures, similar, similar_links
@@ -311,7 +312,7 @@ def deduplicate(
     points = scratch.keep(marks.groupBy("id", "short").agg(first, F.count("*").alias("n")), "points")
 
     def fetch(some: DataFrame) -> DataFrame:
-        wanted = points.join(some, "short", "left_semi").select("id", F.col("first.doc").alias("doc"))
+        wanted = possible(points, F.col("short"), some, scratch).join(some, "short", "left_semi").select("id", F.col("first.doc").alias("doc"))
         wanted = scratch.keep(wanted.groupBy("doc").agg(F.collect_set("id").alias("ids")), "wanted")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,8 +324,9 @@ def deduplicate(
                         made.append((int(np.frombuffer(own, "<i8")[0]), own, s.tobytes(), set_fingerprint(s).tobytes()))
                 yield pd.DataFrame(made, columns=["short", "id", "shingles", "mark"])
 
-        rows = _doc_rows(docs).join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), "ids")
-        return map_slices(rows, run, "short long, id binary, shingles binary, mark binary", text="text").dropDuplicates(["id"])
+        rows = possible(_doc_rows(docs), F.col("doc"), wanted, scratch).join(wanted, "doc").dropDuplicates(["doc", "text"])
+        # an id is wanted of one document only, so that rows that are alike are all that repeats
+        return map_slices(rows.select(F.col("text").cast("binary").alias("text"), "ids"), run, "short long, id binary, shingles binary, mark binary", text="text")
 
     def pair(x: np.ndarray, m: bytes, y: np.ndarray, n: bytes) -> bool:
         near = int(BKForest.distance(np.frombuffer(m, np.uint64), np.frombuffer(n, np.uint64))) <= radius
@@ -332,11 +334,16 @@ def deduplicate(
 
     keys = marks.select("short", F.explode("key").alias("key"))
     links = similar_links(keys, fetch, pair, lambda sets, label, of: link_sets(sets, label, of, radius, least), block, scratch)
-    joined = components(links, scratch)
-    named = points.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
+    joined = scratch.keep(components(links, scratch).withColumnRenamed("node", "id"), "joined")
+    # a point of one row that nothing links is no group
+    some = tested(points, F.col("id"), joined, scratch).where("_possible OR n > 1").drop("_possible")
+    named = some.join(joined, "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
     named = scratch.keep(named, "named")
     groups = scratch.keep(named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size")).where("size > 1"), "groups")
     of_point = scratch.keep(named.select("id", "root").join(groups, "root").select("id", "kept"), "of_point")
-    gone = marks.join(of_point, "id").where(F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("kept.doc_id")) | ~F.col("text_hash").eqNullSafe(F.col("kept.text_hash"))))
+    gone = possible(marks.select("id", "doc_id", "text_hash"), F.col("id"), of_point, scratch).join(of_point, "id").where(F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("kept.doc_id")) | ~F.col("text_hash").eqNullSafe(F.col("kept.text_hash"))))
     gone = scratch.keep(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_gone_hash")), "left_anti")
+    names = scratch.keep(gone.select(F.xxhash64("_gone", "_gone_hash")), "names")
+    doc_id, text_hash = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    some, others = split(docs, F.xxhash64(doc_id, text_hash), names, scratch)
+    return some.join(gone, (doc_id == F.col("_gone")) & (text_hash == F.col("_gone_hash")), "left_anti").union(others)
