@@ -133,3 +133,27 @@ def test_named_groups_and_running_sums(spark):
     assert regex.pcre("(?<a>x)(?<=y)") == "(?<a>x)(?<=y)"
     df = spark.createDataFrame([([1, 2, 3],), ([],), (None,)], "n array<int>")
     assert [r.s for r in df.select(running_sums(F.col("n")).alias("s")).collect()] == [[1, 3, 6], [], None]
+
+
+def test_tests_of_a_pattern_find_the_same_texts_in_linear_time(spark):
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import search
+    from textloom.plans import regex
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ttgo  ab\n\r\u2028x.é𝒳") for _ in range(r.randint(0, 24))) for _ in range(2000)]
+    plain = ["t.*?g {1,2}?o", "a.+b.*g", "[ab].*x|go", "(t.*g)o", "t+.*b", "t.*", ".*t.*g", "é.*[a-b]{2}", "ab?.*g", "t.g.*(a|b)", "(?:t.*x)|a.*b", "a.*^|t.*$", r"\..*\bx", r"[a\]-].*(?<=o)t", "𝒳.*t", "a.*(?=b).*t"]
+    made = [regex.translate(p) for p in plain] + [regex.translate(p, ignore_case=True) for p in ("T.*G", "A.*B.*O")] + [regex.translate("t*[ab]?x", "glob"), regex.translate(["t.*g", "b.*x"]), regex.translate("a.*b", word=True), regex.translate("a.*b.*", line=True)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", *(F.col("t").rlike(j).alias(f"a{n}") for n, j in enumerate(made)), *(search.found_in(F.col("t"), j).alias(f"b{n}") for n, j in enumerate(made))).collect()
+    for n, j in enumerate(made):
+        assert [x[f"a{n}"] for x in both] == [x[f"b{n}"] for x in both], (j, regex.for_test(j))
+        assert any(x[f"a{n}"] for x in both) or n == 11
+    began = time.monotonic()
+    long = spark.createDataFrame([("t" * 300_000 + "g",), ("th" * 150_000,)], "text string")
+    assert search.grep(long, search.Pattern("t.*?g {1,2}?o")).count() + search.grep(long, search.Pattern("th*[aeiou]?ng", "glob")).count() == 0
+    assert time.monotonic() - began < 20

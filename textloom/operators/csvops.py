@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.operators.search import found_in
 from textloom.plans import regex
 
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[Ee][-+][0-9]+)?"
@@ -102,7 +103,7 @@ def search(df: DataFrame, pattern: str, columns: list[int] | None = None, text:
     java = regex.translate(pattern, line=whole)
     rows = parse(df, text, sep, quote)
     chosen = F.col("fields") if columns is None else F.array(*(F.try_element_at("fields", F.lit(n + 1)) for n in columns))
-    hit = F.coalesce(F.exists(chosen, lambda f: f.rlike(java)), F.lit(False))
+    hit = F.coalesce(F.exists(chosen, lambda f: found_in(f, java)), F.lit(False))
     return rows.where(~hit if invert else hit).drop("fields")
 
 

@@ -7,6 +7,7 @@ matching lines only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,6 +16,11 @@ from textloom.operators.lines import line_array, running_sums
 from textloom.plans import regex
 
 
+def found_in(text: Column, java: str) -> Column:
+    """Whether a Java pattern is found."""
+    return reduce(Column.__and__, (text.rlike(p) for p in regex.for_test(java)))
+
+
 @dataclass(frozen=True)
 class Pattern:
     """What to look for. ``patterns``: one or several, any may match."""
@@ -49,7 +55,7 @@ class Pattern:
             for t in texts:
                 found = found | F.contains(line, F.lit(t))
         else:
-            found = line.rlike(self.java)
+            found = found_in(line, self.java)
         return ~found if self.invert else found
 
 
@@ -64,7 +70,7 @@ def _rows(text: str, p: Pattern) -> Column:
         other = line_array(normalize(F.col(text), p.equivalence), p.mode)
         pairs = F.zip_with(source, other, lambda x, y: F.struct(x.alias("line"), y.alias("other")))
         pairs = F.transform(pairs, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x["line"].alias("line"), x["other"].alias("other")))
-        kept = F.filter(pairs, lambda x: ~x["other"].rlike(p.java) if plain.invert else x["other"].rlike(p.java))
+        kept = F.filter(pairs, lambda x: ~found_in(x["other"], p.java) if plain.invert else found_in(x["other"], p.java))
         return F.transform(kept, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line")))
     numbered = F.transform(source, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
     return F.filter(numbered, lambda x: p.hits(x["line"]))
@@ -210,5 +216,5 @@ def which_patterns(df: DataFrame, patterns: DataFrame, text: str = "text", max_p
         raise ValueError(f"more than {max_patterns} patterns: search them in several lists")
     rest = [c for c in df.columns if c != text]
     rows = df.select(*rest, F.posexplode(line_array(text)).alias("_at", "line"))
-    ids = F.array_compact(F.array(*(F.when(F.col("line").rlike(regex.translate(r["pattern"])), F.lit(r["pattern_id"])) for r in listed)))
+    ids = F.array_compact(F.array(*(F.when(found_in(F.col("line"), regex.translate(r["pattern"])), F.lit(r["pattern_id"])) for r in listed)))
     return rows.select(*rest, (F.col("_at") + 1).cast("long").alias("line_no"), F.explode(ids).alias("pattern_id"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 import string
+from collections.abc import Iterator
 
 from textloom.plans import charset
 
@@ -21,6 +22,8 @@ class UnsupportedPattern(ValueError):
 _POSIX = set("alpha digit alnum upper lower space blank punct cntrl graph print xdigit word ascii".split())
 _META = set(r"\.[]{}()*+?^$|&-~#")
 DIGIT, SPACE = r"\p{Nd}", r"\p{IsWhite_Space}"
+DOT, NOT_BREAK = r"[^\n\x0B\x0C\r\x85\x{2028}\x{2029}]", r"[^\n]"
+BREAK = DOT.replace("^", "")
 WORD = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\p{IsJoin_Control}]"
 
 
@@ -107,7 +110,7 @@ class _Pcre:
         if c == "[":
             return self.bracket()
         if c == ".":
-            return r"[^\n\x0B\x0C\r\x85\x{2028}\x{2029}]"
+            return DOT
         if c == "^":
             return "^"
         if c == "$":
@@ -395,7 +398,7 @@ def glob(pattern: str, kind: str = "file") -> str:
     """Shell patterns over paths. ``file``: wildcards stop at ``/`` and don't match a leading dot; ``git``: so do they, ``**`` spans
     folders, a pattern without ``/`` fits at any depth; ``grep``: wildcards match anything in a line."""
     i, out, start = 0, [], True
-    slash, dot = ("[^/]", "(?![.])" if kind == "file" else "") if kind != "grep" else (r"[^\n]", "")
+    slash, dot = ("[^/]", "(?![.])" if kind == "file" else "") if kind != "grep" else (NOT_BREAK, "")
     while i < len(pattern):
         c = pattern[i]
         if kind == "git" and pattern.startswith("**/", i) and start:
@@ -473,6 +476,73 @@ def translate(pattern: str | list[str], syntax: str = "pcre", ignore_case: bool
     return f"(?iu){body}" if ignore_case else body
 
 
+#: One character that is no line break, of a width that doesn't vary: a literal or a plain class.
+_ONE = re.compile(r"[^\\.\[\]{}()*+?^$|\n\x0B\x0C\r\x85\u2028\u2029]|\\[^A-Za-z0-9\s]|\[(?:[A-Za-z0-9 _,;:=!/]|\\[^A-Za-z0-9\s])(?:-(?=[A-Za-z0-9])|[A-Za-z0-9 _,;:=!/]|\\[^A-Za-z0-9\s])*\]")
+
+
+def _marks(java: str) -> Iterator[tuple[int, str, int]]:
+    """Parentheses and bars outside of classes and escapes: place, character, depth after it."""
+    depth, inside, i = 0, 0, 0
+    while i < len(java):
+        c = java[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            inside += 1
+        elif c == "]" and inside:
+            inside -= 1
+        elif c in "()|" and not inside:
+            depth += {"(": 1, ")": -1}.get(c, 0)
+            yield i, c, depth
+        i += 1
+
+
+def _linear(java: str) -> list[str]:
+    """One alternative; see ``for_test``."""
+    for dot, edge in ((DOT, BREAK), (NOT_BREAK, r"\n")):
+        heads, head, i = [], "", 0
+        while i < len(java):
+            if java.startswith(dot, i):
+                i += len(dot)
+                mark = java[i : i + 1]
+                if mark in ("*", "+") and java[i + 1 : i + 2] not in ("+", "?", "*", "{"):
+                    i += 1
+                    heads.append(head + (dot if mark == "+" else ""))
+                    head, rest = "", java[i:]
+                    continue
+                head += dot
+            elif m := _ONE.match(java, i):
+                head += m[0]
+                i = m.end()
+            else:
+                break
+            if java[i : i + 1] in ("*", "+", "?", "{"):
+                break
+        if heads:
+            return [rest] * bool(rest) + [rf"(?:\A|{edge})" + "".join(f"(?>{dot}*?{h})" for h in heads if h) + f"{dot}*?(?:{rest})"]
+    return [java]
+
+
+def for_test(java: str) -> list[str]:
+    """Java patterns that are all found in just the texts in which ``java`` is, at other places: for tests only.
+
+    ``a.*b`` looks from every ``a`` to the end of its line where no ``b`` follows. What follows one of them follows the first of its line
+    too, if all are equally wide; so only that is tried, from the start of the line, and time is linear in the line. ``b`` alone
+    is looked up first, as that is fastest.
+    """
+    flags = "(?iu)" if java.startswith("(?iu)") else ""
+    body = java.removeprefix(flags)
+    if re.search(r"\(\?[a-z]*(?:-[a-z]+)?\)|\\[QE]", body):  # settings that hold from their place on
+        return [java]
+    marks = list(_marks(body))
+    cuts = [i for i, c, depth in marks if c == "|" and not depth]
+    if cuts:
+        return [flags + "|".join(f"(?:{for_test(body[a + 1 : b])[-1]})" for a, b in itertools.pairwise([-1, *cuts, len(body)]))]
+    if body.startswith("(?:") and next((i for i, _, depth in marks if not depth), -1) == len(body) - 1:
+        return [flags + p for p in for_test(body[3:-1])]
+    return [flags + p for p in _linear(body)]
+
+
 _REPLACE = re.compile(r"\$\$|\$(\d+)|\$\{(\d+)\}|\$\{(\w+)\}|\$(\w+)|\\(\d)|\\x\{([0-9A-Fa-f]+)\}|\\x([0-9A-Fa-f]{1,2})|\\(.)|([\\$])|([^\\$]+)", re.S)
 
 
