@@ -157,3 +157,56 @@ def test_tests_of_a_pattern_find_the_same_texts_in_linear_time(spark):
     long = spark.createDataFrame([("t" * 300_000 + "g",), ("th" * 150_000,)], "text string")
     assert search.grep(long, search.Pattern("t.*?g {1,2}?o")).count() + search.grep(long, search.Pattern("th*[aeiou]?ng", "glob")).count() == 0
     assert time.monotonic() - began < 20
+
+
+def test_slices_of_a_batch_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from textloom.functions.batches import slices
+
+    texts = pa.array(["x" * (k % 7 * 1000) if k % 5 else None for k in range(400)] + ["y" * 100_000, "z"])
+    words = pa.array([["w" * (k % 9 * 100)] * (k % 4) if k % 6 else None for k in range(400)])
+    numbers = pa.array([list(range(k % 50)) for k in range(400)], pa.list_(pa.int32()))
+    cost = {0: lambda v: len(v or ""), 1: lambda v: sum(map(len, v or [])), 2: lambda v: 32 * len(v or [])}
+    for n, a in enumerate((texts, words, numbers)):
+        for whole in (a, a.slice(7, 300), a.slice(3, 0)):
+            parts = list(slices(whole, 20_000))
+            assert [v for p in parts for v in p.to_pylist()] == whole.to_pylist()
+            assert all(len(p) == 1 or sum(cost[n](v) for v in p.to_pylist()) <= 20_000 for p in parts)
+            assert len(parts) > 3 or not len(whole)
+
+
+def test_python_functions_hold_a_slice_of_a_batch(spark):
+    from pyspark.sql import functions as F, types as T
+
+    from textloom.functions.batches import SLICE_BYTES, sliced
+    from textloom.operators.lines import running_sums
+
+    rows = sliced(T.IntegerType(), lambda: lambda part: [len(part)] * len(part))
+    df = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("a"), 4096).alias("t"))
+    assert df.select(F.max(rows("t"))).collect()[0][0] <= SLICE_BYTES / 4096
+    sums = df.select("id", running_sums(F.when(F.col("id") % 3 > 0, F.sequence(F.lit(1), (F.col("id") % 90 + 1).cast("int")))).alias("s")).collect()
+    assert all((r.s and r.s[-1]) == (None if r.id % 3 == 0 else (r.id % 90 + 1) * (r.id % 90 + 2) // 2) for r in sums)
+
+
+def test_errors_of_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import chars
+
+    data = [b"", b"ok", b"a\xffb\xc3", b"\xe2\x82", b"\xf0\x9f\x92 \x80\x80", None, b"\xff" * 3]
+
+    def slow(raw):
+        out, at = [], 0
+        while raw is not None and at < len(raw):
+            try:
+                raw[at:].decode()
+                break
+            except UnicodeDecodeError as e:
+                out.append((at + e.start, e.end - e.start))
+                at += e.end
+        return None if raw is None else out
+
+    df = spark.createDataFrame([(d,) for d in data], "d binary")
+    got = [r.e for r in df.select(chars.utf8_errors(F.col("d")).alias("e")).collect()]
+    assert [None if e is None else [tuple(x) for x in e] for e in got] == [slow(d) for d in data]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from textloom.functions.batches import lean
 from textloom.llm.words import by_bytes
 
 #: Rows of a batch that are Python objects at a time; the batch itself stays Arrow memory.
@@ -72,16 +71,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def lean() -> None:
-    """Gives back what earlier tasks left in this worker: it is used again, and its allocators keep freed memory."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
-
-
 def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = SLICE, text: str | None = None) -> DataFrame:
     """As ``mapInPandas``, but ``run`` gets slices of at most ``rows`` rows, or by the bytes of the column ``text``. Whole numbers with
     nulls stay whole."""
