@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from textloom.functions import normalize as _n
+from textloom.functions.batches import sliced
 from textloom.operators.lines import running_sums
 
 _CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
@@ -17,6 +18,8 @@ _WORD = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}]"
 _BERT_PUNCT = r"[!-/:-@\[-`{-~\p{P}]"
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 ENDOFTEXT = "<|endoftext|>"
+#: Distinct pieces whose tokens a task keeps, and the longest of them.
+KNOWN, KNOWN_CHARS = 100_000, 48
 
 
 def byte_alphabet() -> list[str]:
@@ -148,30 +151,29 @@ def read_merges(lines: list[str]) -> list[tuple[str, str]]:
 
 
 def bpe_tokens(df: DataFrame, merges: list[tuple[str, str]], text: str = "text", limit: int | None = None, strings: bool = False, strip_newlines: bool = False) -> DataFrame:
-    """Tokens of each text as an array. A worker encodes each distinct piece once; ``<|endoftext|>`` passes as the id after the last merge."""
+    """Tokens of each text as an array. A task keeps the tokens of up to ``KNOWN`` distinct pieces; ``<|endoftext|>`` passes as the id after the last merge."""
     source = F.regexp_replace(text, "[\r\n]", "") if strip_newlines else F.col(text)
     kind = T.ArrayType(T.StringType() if strings else T.IntegerType())
+    end = [ENDOFTEXT] if strings else [256 + len(merges[:limit])]
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe, known = Bpe(merges, limit), {}  # once a task
-        known[ENDOFTEXT] = [ENDOFTEXT] if strings else [256 + len(merges[:limit])]
+    def start() -> Callable[[pa.Array], list]:
+        bpe = Bpe(merges, limit)
+        make = bpe.pieces if strings else bpe.encode
+        known: dict[str, list] = {}
 
-        def one(pieces) -> list | None:
-            if pieces is None:
-                return None
+        def one(pieces: list[str]) -> list:
             out: list = []
             for p in pieces:
-                if p not in known:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                        known[ENDOFTEXT] = [ENDOFTEXT] if strings else [256 + len(merges[:limit])]
-                    known[p] = bpe.pieces(p) if strings else bpe.encode(p)
-                out += known[p]
+                if (ids := known.get(p)) is None:
+                    ids = end if p == ENDOFTEXT else make(p)
+                    if len(p) <= KNOWN_CHARS:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[p] = ids
+                out += ids
             return out
 
-        for values in batches:
-            yield values.map(one)
+        return lambda part: [None if v is None else one(v) for v in part.to_pylist()]
 
     pieces = F.regexp_extract_all(source, F.lit(r"<\|endoftext\|>|(?:(?!<\|endoftext\|>)(?:" + GPT2 + "))"), F.lit(0))
-    return df.withColumn("tokens", run(F.transform(pieces, lambda p: F.when(p == ENDOFTEXT, p).otherwise(to_byte_level(p)))))
+    return df.withColumn("tokens", sliced(kind, start)(F.transform(pieces, lambda p: F.when(p == ENDOFTEXT, p).otherwise(to_byte_level(p)))))
