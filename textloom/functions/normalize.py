@@ -6,9 +6,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from textloom.functions.batches import by_value
 from textloom.plans.charset import CharSet
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
@@ -20,12 +20,7 @@ def normalized(text: str, form: str) -> str:
 
 def _focused(text: Column, test: str, change: Callable[[str], str]) -> Column:
     """``change`` on the rows that pass a regex, the others untouched."""
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else change(t))
-
-    return F.when(text.rlike(test), run(F.when(text.rlike(test), text))).otherwise(text)
+    return F.when(text.rlike(test), by_value(T.StringType(), change)(F.when(text.rlike(test), text))).otherwise(text)
 
 
 def normalize(text: Column, form: str = "NFC") -> Column:
@@ -72,24 +67,18 @@ def is_fcd(text: str) -> bool:
 
 def fcd_failures(text: Column) -> Column:
     """Positions (code points) at which the FCD test fails."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: pd.Series) -> pd.Series:
-        def bad(t: str | None) -> list[int] | None:
-            if t is None:
-                return None
-            out, last = [], 0
-            for i, c in enumerate(t):
-                d = unicodedata.normalize("NFD", c)
-                first = unicodedata.combining(d[0])
-                if first and last > first:
-                    out.append(i)
-                last = unicodedata.combining(d[-1])
-            return out
-
-        return texts.map(bad)
-
-    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), run(text)).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))
+    def bad(t: str) -> list[int]:
+        out, last = [], 0
+        for i, c in enumerate(t):
+            d = unicodedata.normalize("NFD", c)
+            first = unicodedata.combining(d[0])
+            if first and last > first:
+                out.append(i)
+            last = unicodedata.combining(d[-1])
+        return out
+
+    test = text.rlike(r"[^\x{0}-\x{2FF}]")
+    return F.when(test, by_value(T.ArrayType(T.IntegerType()), bad)(F.when(test, text))).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))
 
 
 S, L, V, TT, N = 0xAC00, 0x1100, 0x1161, 0x11A7, 28
