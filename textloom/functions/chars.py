@@ -5,10 +5,10 @@ from __future__ import annotations
 import codecs
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from textloom.functions import normalize as _n
+from textloom.functions.batches import by_value
 from textloom.plans import regex
 
 
@@ -120,35 +120,25 @@ def repair(data: Column, errors: str = "replace") -> Column:
     if errors != "drop":
         raise ValueError(errors)
 
-    @F.pandas_udf(T.StringType())
-    def drop(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
+    drop = by_value(T.StringType(), lambda b: b.decode("utf-8", "ignore"))
     binary = data.cast("binary")
     return F.when(F.is_valid_utf8(data), F.decode(binary, "UTF-8")).otherwise(drop(F.when(~F.is_valid_utf8(data), binary)))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType())])))
-def _errors(values: pd.Series) -> pd.Series:
-    def bad(raw: bytes | None) -> list[dict] | None:
-        if raw is None:
-            return None
-        out, at, raw = [], 0, bytes(raw)
-        while at < len(raw):
-            try:
-                raw[at:].decode("utf-8")
-                break
-            except UnicodeDecodeError as e:
-                out.append({"offset": at + e.start, "length": e.end - e.start})
-                at += e.end
-        return out
+_ERRORS = T.ArrayType(T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("length", T.IntegerType())]))
+
 
-    return values.map(bad)
+def _errors(raw: bytes) -> list[dict]:
+    out: list[dict] = []
+    found = lambda e: (out.append({"offset": e.start, "length": e.end - e.start}) or "", e.end)
+    codecs.register_error("textloom-errors", found)
+    raw.decode("utf-8", "textloom-errors")
+    return out
 
 
 def utf8_errors(data: Column) -> Column:
     """Offset and length of each maximal ill-formed part."""
-    return _errors(data.cast("binary"))
+    return by_value(_ERRORS, _errors)(data.cast("binary"))
 
 
 def first_utf8_error(data: Column) -> Column:
@@ -169,11 +159,7 @@ def transcode(data: Column, source: str, target: str = "UTF-8", errors: str = "r
     codecs.lookup(source), codecs.lookup(target)
     mode = {"replace": "replace", "drop": "ignore", "abort": "strict"}[errors]
 
-    @F.pandas_udf(T.BinaryType())
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode(source, mode).encode(target, mode))
-
-    return run(data.cast("binary"))
+    return by_value(T.BinaryType(), lambda b: b.decode(source, mode).encode(target, mode))(data.cast("binary"))
 
 
 def gb18030_to_utf8(data: Column, errors: str = "replace") -> Column:
@@ -190,9 +176,4 @@ def symbol_hash(text: Column) -> Column:
 
 def category_codes(text: Column) -> Column:
     """The general category of each character."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda t: None if t is None else [unicodedata.category(c) for c in t])
-
-    return run(text)
+    return by_value(T.ArrayType(T.StringType()), lambda t: [unicodedata.category(c) for c in t])(text)
