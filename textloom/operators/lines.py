@@ -6,9 +6,11 @@ Lines stay inside their row until they are needed as rows, so splitting, numberi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from textloom.functions.batches import sliced
+
 BREAKS = {"unix": "\n", "unicode": r"\R", "null": "\x00"}
 
 
@@ -32,14 +34,18 @@ def with_spans(rows: DataFrame, key: str = "doc_id", break_length: int = 1) -> D
     return rows.withColumn("line_start", start).withColumn("line_end", F.col("line_start") + F.char_length("line"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _sums(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else np.cumsum(v, dtype=np.int64))
+def _sums(part: pa.Array) -> pa.Array:
+    ends = part.offsets.to_numpy()
+    total = np.zeros(ends[-1] - ends[0] + 1, np.int64)
+    np.cumsum(part.values.to_numpy()[ends[0] : ends[-1]], dtype=np.int64, out=total[1:])
+    ends = ends - ends[0]
+    made = total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made), mask=part.is_null())
 
 
 def running_sums(sizes: Column) -> Column:
     """Running sums of each row's array, linear in its length: an ``aggregate`` that grows an array copies it at each step."""
-    return _sums(sizes.cast("array<bigint>"))
+    return sliced(T.ArrayType(T.LongType()), lambda: _sums)(sizes)
 
 
 def spans_of(df: DataFrame, text: str = "text") -> DataFrame:
