@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from textloom.functions.batches import by_value
+
 _HITS = T.ArrayType(T.StructType([T.StructField("pattern_no", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("distance", T.IntegerType())]))
 
 
@@ -37,11 +38,7 @@ def ends_within(text: str, pattern: str, k: int) -> list[tuple[int, int]]:
 
 def approximate_matches(df: DataFrame, patterns: list[str], k: int = 2, text: str = "text", drop_breaks: bool = True) -> DataFrame:
     """(other columns, pattern_no, end, distance): ends counted from 0 in the text without line breaks."""
-
-    @F.pandas_udf(_HITS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [{"pattern_no": n, "end": e, "distance": d} for n, p in enumerate(patterns) for e, d in ends_within(t, p, k)])
-
+    run = by_value(_HITS, lambda t: [{"pattern_no": n, "end": e, "distance": d} for n, p in enumerate(patterns) for e, d in ends_within(t, p, k)])
     source = F.regexp_replace(text, "[\r\n]", "") if drop_breaks else F.col(text)
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, F.explode(run(source)).alias("hit")).select(*rest, "hit.*")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from textloom.functions.batches import sliced
+
 MAX_DEPTH = 15
 #: Unlike the number form of CSV fields, an exponent needs no sign.
 _NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[Ee][-+]?[0-9]+)?"
@@ -40,23 +41,22 @@ def is_valid(text: Column, max_depth: int | None = MAX_DEPTH) -> Column:
     return F.when(text.isNotNull(), F.coalesce(ok, F.lit(False)))
 
 
-@F.pandas_udf(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("message", T.StringType())]))
-def _place(texts: pd.Series) -> pd.DataFrame:
-    def one(t: str | None) -> tuple:
-        try:
-            json.loads(t if t is not None else "null")
-            return (None, None, None)
-        except json.JSONDecodeError as e:
-            return (e.lineno, e.colno, e.msg)
-        except RecursionError:
-            return (1, 1, "too deep")
+_PLACE = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("message", T.StringType())])
+
 
-    return pd.DataFrame([one(t) for t in texts], columns=["line", "column", "message"]).astype({"line": "Int32", "column": "Int32"})
+def _place(t: str | None) -> dict:
+    try:
+        json.loads(t if t is not None else "null")
+        return {}
+    except json.JSONDecodeError as e:
+        return {"line": e.lineno, "column": e.colno, "message": e.msg}
+    except RecursionError:
+        return {"line": 1, "column": 1, "message": "too deep"}
 
 
 def first_error(text: Column) -> Column:
     """Line, column and message of the first error; nulls if there is none. Only rows that fail reach Python."""
-    return _place(F.when(~_parses(text), text))
+    return sliced(_PLACE, lambda: lambda part: [_place(t) for t in part.to_pylist()])(F.when(~_parses(text), text))
 
 
 def rows_of(df: DataFrame, text: str = "text") -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from textloom.functions.batches import by_value
 from textloom.operators.lines import line_array, running_sums
 from textloom.plans import regex
 
@@ -158,26 +158,13 @@ def count_starts(df: DataFrame, p: Pattern, text: str = "text") -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.coalesce(found, F.lit(0)).cast("long").alias("matches"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _ends(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    import regex as engine
-
-    compiled: dict[str, object] = {}
-    out = []
-    for text, pattern in zip(texts, patterns, strict=True):
-        if text is None:
-            out.append(None)
-            continue
-        if pattern not in compiled:
-            compiled[pattern] = engine.compile(f"(?<=({pattern}))", engine.V1)
-        # a look-behind runs the pattern backward from each end: every end of any match, not only leftmost ones
-        out.append([m.start() for m in compiled[pattern].finditer(text)])
-    return pd.Series(out)
-
-
 def match_ends(column: Column | str, pattern: str, ignore_case: bool = False) -> Column:
     """All positions at which some match of ``pattern`` ends (code points), of any alternative and length."""
-    return _ends(column, F.lit(("(?i)" if ignore_case else "") + pattern))
+    import regex as engine
+
+    # a look-behind runs the pattern backward from each end: every end of any match, not only leftmost ones
+    compiled = engine.compile(f"(?<=({'(?i)' if ignore_case else ''}{pattern}))", engine.V1)
+    return by_value(T.ArrayType(T.IntegerType()), lambda t: [m.start() for m in compiled.finditer(t)])(column)
 
 
 def count_all(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:

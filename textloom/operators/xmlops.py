@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from xml.parsers import expat
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from textloom.functions.batches import sliced
+
 _TAG = r"<(/?[A-Za-z_:][^\s/>]*)"
 _REF = r"&(#x[0-9A-Fa-f]+|#[0-9]+|[A-Za-z_:][\w:.-]*);"
 
@@ -38,21 +39,20 @@ def comments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)<!--(.*?)-->"), F.lit(1))
 
 
-@F.pandas_udf(T.StructType([T.StructField("well_formed", T.BooleanType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("message", T.StringType())]))
-def _check(texts: pd.Series) -> pd.DataFrame:
-    def one(t: str | None) -> tuple:
-        if t is None:
-            return (None, None, None, None)
-        parser = expat.ParserCreate()
-        try:
-            parser.Parse(t.encode("utf-8", "surrogatepass"), True)
-            return (True, None, None, None)
-        except expat.ExpatError as e:
-            return (False, e.lineno, e.offset, expat.ErrorString(e.code))
+_CHECKED = T.StructType([T.StructField("well_formed", T.BooleanType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("message", T.StringType())])
+
 
-    return pd.DataFrame([one(t) for t in texts], columns=["well_formed", "line", "column", "message"]).astype({"well_formed": "boolean", "line": "Int32", "column": "Int32"})
+def _check(t: str | None) -> dict:
+    if t is None:
+        return {}
+    parser = expat.ParserCreate()
+    try:
+        parser.Parse(t.encode("utf-8", "surrogatepass"), True)
+        return {"well_formed": True}
+    except expat.ExpatError as e:
+        return {"well_formed": False, "line": e.lineno, "column": e.offset, "message": expat.ErrorString(e.code)}
 
 
 def check(text: Column) -> Column:
     """Whether a document is well formed (tags match, names, references, attributes, declaration), and the first error's place."""
-    return _check(text)
+    return sliced(_CHECKED, lambda: lambda part: [_check(t) for t in part.to_pylist()])(text)
